@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm.quality import op8_quality_rules
+QUERIES = {
+    "op6_sentencepiece_codec": "pieces",
+    "op8_quality_rules": "quality",
+}
+
+
+def _module(name: str):
+    return import_module(f"basalt.llm.{QUERIES[name]}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_quality_rules": op8_quality_rules}
+    return {name: getattr(_module(name), name) for name in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: _module(name).ORACLE for name in QUERIES if hasattr(_module(name), "ORACLE")}
