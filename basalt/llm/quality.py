@@ -24,9 +24,9 @@ from basalt.llm.common import BROADCAST_ROWS, SPACE, cut, null_safe, table, whol
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: metric: (numerator, denominator, floor under which no text is rejected)
 METRICS = {
-    "symbol_share": ("n_symbols", "word_chars", 0.08),
-    "dup_line_share": ("n_dup_lines", "n_lines", 0.30),
-    "repeat_share": ("n_repeat_words", "n_words", 0.30),
+    "symbol_share": ("n_symbols", "word_chars", 0.15),
+    "dup_line_share": ("n_dup_lines", "n_lines", 0.45),
+    "repeat_share": ("n_repeat_words", "n_words", 0.40),
     "word_length": ("word_chars", "n_words", 14.0),
 }
 
