@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES = {
+    "op1_toxicity": "toxicity",
     "op3_secret_scan": "secrets",
     "op6_sentencepiece_codec": "pieces",
     "op8_quality_rules": "quality",
