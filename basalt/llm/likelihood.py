@@ -239,14 +239,15 @@ def score(docs: DataFrame, model_file: str) -> DataFrame:
     n, v = (totals.n or 0) + n_docs, totals.v + (n_docs > 0)
     denominator, end_z = math.log10(n + v + 1), float(log_p[-1])
 
-    # the lowest count that at most FREQUENT words reach
-    by_count = words.select(F.least("c_all", F.lit(FREQUENT)).alias("k")).groupBy("k").count().orderBy(F.desc("k")).collect()  # FREQUENT rows at most
-    threshold, reached = FREQUENT + 1, 0
-    for r in by_count:
+    # levels of counts, some 16 per power of two: as few at any size of corpus
+    words = words.withColumn("level", F.floor(16 * F.log2("c_all")))
+    lowest, reached = None, 0
+    for r in words.groupBy("level").count().orderBy(F.desc("level")).collect():
         if reached + r["count"] > FREQUENT:
             break
-        threshold, reached = r.k, reached + r["count"]
-    top = words.where(F.col("c_all") >= threshold).toArrow() if reached else None  # FREQUENT rows at most
+        lowest, reached = r.level, reached + r["count"]
+    frequent = F.lit(False) if lowest is None else F.col("level") >= lowest
+    top = words.where(frequent).toArrow() if reached else None  # FREQUENT rows at most
     known = {} if top is None else {w.encode(): i for i, w in enumerate(top["word"].to_pylist())}
     c = np.append(top["c"].to_numpy() if top is not None else np.zeros(0), 0).astype(float)
     z = np.append(top["z"].to_numpy() if top is not None else np.zeros(0), 0.0)
@@ -274,7 +275,7 @@ def score(docs: DataFrame, model_file: str) -> DataFrame:
             )
 
     texts = cut(in_batches(docs, run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, z double, rare array<string>"))
-    others = words.where(F.col("c_all") < threshold)
+    others = words.where(~frequent).select("word", "c", "z")
     rest = (
         texts.select("row", F.explode("rare").alias("word"))
         .join(others, "word")
