@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES = {
+    "op10_token_counts": "token_counts",
     "op4_lm_score": "likelihood",
     "op1_toxicity": "toxicity",
     "op3_secret_scan": "secrets",
