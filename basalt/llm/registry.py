@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES = {
+    "op9_near_duplicates": "near_duplicates",
     "op7_decontamination": "decontaminate",
     "op10_token_counts": "token_counts",
     "op4_lm_score": "likelihood",
