@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES = {
+    "op2_suffix_dedup": "suffix_dedup",
     "op5_line_dedup": "line_dedup",
     "op9_near_duplicates": "near_duplicates",
     "op7_decontamination": "decontaminate",
