@@ -9,6 +9,9 @@ Samples are banded; texts that share a band are candidates.
 
 No task ever sees a whole bucket and no bucket is expanded into its pairs:
 
+Candidate groups (texts linked by buckets) of at most ``SMALL`` texts are compared
+in one task each.  In larger ones
+
 1. every member is compared with its bucket's first text, then those not yet in
    one class with it are compared with a few more, which settles dense groups;
 2. buckets in which several classes are left over are finished exactly: their
@@ -27,8 +30,6 @@ class's id is its least doc_id (null if it has none).
 from __future__ import annotations
 
 from dataclasses import dataclass
-from hashlib import blake2b
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,8 @@ from basalt.llm.common import BROADCAST_ROWS, cut, in_batches, table, whole_text
 from basalt.llm.components import components
 
 DRAWS = 1 << 16
+LEVELS = 16  #: of the IDF between 1 and 2
+SMALL = 64  #: candidate groups of up to so many texts are compared in one task
 
 
 @dataclass(frozen=True)
@@ -50,37 +53,79 @@ class Near:
     more_leaders: int = 8
 
 
-def word_hash(word: str) -> int:
-    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Shingler:
-    """Distinct shingle hashes of texts and how often each occurs; word hashes are kept between texts."""
+    """Distinct shingle hashes (ascending) of texts and how often each occurs, for many texts at once."""
 
     def __init__(self, words: int) -> None:
-        self.k, self.known = words, {}
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = (text or "").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64), np.zeros(0)
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        try:
-            ids = [known[w] for w in words]
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = word_hash(w)
-            ids = [known[w] for w in words]
-        x = np.array(ids, np.uint64)
-        n = max(len(x) - self.k + 1, 1)
+        self.k = words
+        self.power = self.inverse = np.zeros(0, np.uint64)
+
+    def _tables(self, n: int) -> None:
+        if len(self.power) < n:
+            base, size = 0xD6E8FEB86659FD93, max(n, 1 << 16)
+            for name, b in (("power", base), ("inverse", pow(base, -1, 2**64))):
+                out = np.ones(size, np.uint64)
+                done = 1
+                while done < size:
+                    step = min(done, size - done)
+                    out[done : done + step] = out[:step] * np.uint64(pow(b, done, 2**64))
+                    done += step
+                setattr(self, name, out)
+
+    def hashes(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The hash of each shingle, in order of place."""
+        out: list[np.ndarray] = []
+        group: list[bytes] = []
+        size = 0
+        for t in texts:
+            data = (t or "").lower().encode("utf-8", "surrogatepass")
+            if group and size + len(data) > 1 << 20:
+                out += self._group(group)
+                group, size = [], 0
+            group.append(data)
+            size += len(data) + 1
+        return out + self._group(group) if group else out
+
+    def _group(self, group: list[bytes]) -> list[np.ndarray]:
+        x = np.frombuffer(b"\n".join(group) + b"\n", np.uint8)
+        self._tables(len(x))
+        inside = np.concatenate([[False], ~SPACES[x], [False]])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * self.power[: len(x)])])
+        w = (sums[end] - sums[start]) * self.inverse[start]
+        w = (w ^ (w >> np.uint64(32))) * FACTOR
+        begin = np.cumsum([0, *[len(g) + 1 for g in group]])
+        bounds = np.searchsorted(start, begin)
+        n = max(len(w) - self.k + 1, 0)
         h = np.full(n, np.uint64(0x243F6A8885A308D3))
-        for j in range(min(self.k, len(x))):
-            h = (h ^ x[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        for j in range(self.k):
+            h = (h ^ w[j : j + n]) * FACTOR
             h ^= h >> np.uint64(31)
-        return np.unique(h, return_counts=True)
+        out = []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if hi - lo >= self.k:
+                out.append(h[lo : hi - self.k + 1])
+            else:
+                one = np.full(min(hi - lo, 1), np.uint64(0x13198A2E03707344))
+                for j in range(lo, hi):
+                    one = (one ^ w[j]) * FACTOR
+                    one ^= one >> np.uint64(31)
+                out.append(one)
+        return out
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for h in self.hashes(texts):
+            h = np.sort(h)
+            at = np.flatnonzero(np.concatenate([[True] * min(len(h), 1), h[1:] != h[:-1]]))
+            out.append((h[at], np.diff(np.append(at, len(h)))))
+        return out
 
 
 class Weights:
@@ -89,14 +134,15 @@ class Weights:
     def __init__(self, df: np.ndarray, n_docs: int) -> None:
         self.df = df.astype(np.int64)
         top = np.log(1.0 + max(n_docs, 1))
-        self.idf = (1 + np.maximum(0, top - np.log(1.0 + np.minimum(df, n_docs))) / top).astype(np.float32)
+        idf = np.maximum(0, top - np.log(1.0 + np.minimum(df, n_docs))) / top
+        self.level = np.rint(LEVELS * idf).astype(np.int32)  # in sixteenths, so that draws can be tabulated
         self.shift = np.uint64(64 - int(np.log2(len(df))))
 
     def bucket(self, h: np.ndarray) -> np.ndarray:
         return (h >> self.shift).astype(np.int64)
 
     def __call__(self, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        return self.idf[self.bucket(h)] * tf.astype(np.float32)
+        return (1 + self.level[self.bucket(h)] / np.float32(LEVELS)).astype(np.float32) * tf.astype(np.float32)
 
 
 class Sampler:
@@ -109,23 +155,36 @@ class Sampler:
         self.r = rng.gamma(2, 1, DRAWS).astype(np.float32)
         self.log_c = np.log(rng.gamma(2, 1, DRAWS)).astype(np.float32)
         self.beta = rng.random(DRAWS).astype(np.float32)
+        levels = np.log(1 + np.arange(LEVELS + 1, dtype=np.float32) / np.float32(LEVELS)).astype(np.float32)
+        self.table = np.concatenate([self._draw(np.arange(DRAWS), w)[0] for w in levels])
         self.factor = rng.integers(1, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.mix = rng.integers(1, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def __call__(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def _draw(self, draw: np.ndarray, log_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        r, beta = self.r[draw], self.beta[draw]
+        t = np.floor(log_w / r + beta)
+        return self.log_c[draw] - r * (t - beta + 1), t
+
+    def __call__(self, h: np.ndarray, tf: np.ndarray, level: np.ndarray) -> np.ndarray:
         """A key per band."""
         k = len(self.factor)
-        best, who, ts = np.full(k, np.inf, np.float32), np.zeros(k, np.int64), np.zeros(k, np.int64)
-        log_w = np.log(w)[:, None]
-        for at in range(0, len(h), 2048):
-            draw = ((h[at : at + 2048, None] * self.factor) >> np.uint64(48)).astype(np.int32)
-            r, beta = self.r[draw], self.beta[draw]
-            t = np.floor(log_w[at : at + 2048] / r + beta)
-            log_a = self.log_c[draw] - r * (t - beta + 1)
-            i = log_a.argmin(0)
-            a = log_a[i, np.arange(k)]
-            less = a < best
-            best[less], who[less], ts[less] = a[less], draw[i, np.arange(k)][less], t[i, np.arange(k)][less]
+        best, who, log_w = np.full(k, np.inf, np.float32), np.zeros(k, np.int64), np.zeros(k, np.float32)
+        every = np.arange(k)
+        once = tf == 1
+        for part, tabulated in ((once, True), (~once, False)):
+            own, lv, times = h[part], level[part], tf[part]
+            own_log_w = np.log((1 + lv / np.float32(LEVELS)) * times.astype(np.float32)).astype(np.float32)
+            for at in range(0, len(own), 1024):
+                draw = ((own[at : at + 1024, None] * self.factor) >> np.uint64(48)).astype(np.int32)
+                if tabulated:
+                    log_a = self.table[draw + (lv[at : at + 1024, None] << 16)]
+                else:
+                    log_a, _ = self._draw(draw, own_log_w[at : at + 1024, None])
+                i = log_a.argmin(0)
+                a = log_a[i, every]
+                less = a < best
+                best[less], who[less], log_w[less] = a[less], draw[i, every][less], own_log_w[at + i][less]
+        _, ts = self._draw(who, log_w)
         x = (who.astype(np.uint64) << np.uint64(20)) ^ ts.astype(np.int64).view(np.uint64)
         x = (x + np.uint64(1)) * self.mix
         x ^= x >> np.uint64(32)
@@ -153,10 +212,9 @@ def document_frequencies(docs: DataFrame, near: Near) -> tuple[np.ndarray, int]:
         shingler, df, n = Shingler(near.words), np.zeros(near.df_buckets, np.int64), 0
         shift = np.uint64(64 - int(np.log2(near.df_buckets)))
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                h, _ = shingler(text)
-                np.add.at(df, (h >> shift).astype(np.int64), 1)
-                n += 1
+            sets = shingler(batch.column("text").to_pylist())
+            n += len(sets)
+            np.add.at(df, (np.concatenate([h for h, _ in sets]) >> shift).astype(np.int64), 1)
         if n:
             used = [c for c in range(0, near.df_buckets, chunk) if df[c : c + chunk].any()]
             yield pa.RecordBatch.from_arrays(
@@ -187,18 +245,17 @@ def _sample(texts: DataFrame, weights, near: Near) -> DataFrame:
     def run(batches):
         shingler, sampler, seen = Shingler(near.words), Sampler(near.bands, near.rows), set()
         for batch in batches:
-            nodes, keys, totals = [], [], []
+            nodes, keys, totals, new = [], [], [], {}
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if node in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(node)
-                h, tf = shingler(text)
+                if node not in seen:
+                    new[node] = text
+            if len(seen) < 1_000_000:
+                seen.update(new)
+            for node, (h, tf) in zip(new, shingler(list(new.values())), strict=True):
                 if len(h):
-                    w = weights.value(h, tf)
                     nodes.append(node)
-                    keys.append(sampler(h, w))
-                    totals.append(float(w.sum(dtype=np.float64)))
+                    keys.append(sampler(h, tf, weights.value.level[weights.value.bucket(h)]))
+                    totals.append(float(weights.value(h, tf).sum(dtype=np.float64)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(totals, pa.float64())], names=["node", "keys", "weight"]
             )
@@ -215,15 +272,15 @@ def _verify(pairs: DataFrame, texts: DataFrame, weights, near: Near) -> DataFram
     """
 
     def run(batches):
-        shingler, last, kept = Shingler(near.words), None, None
+        shingler = Shingler(near.words)
         for batch in batches:
             a, b, s = [], [], []
-            for x, y, tx, ty in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                if x != last:
-                    h, tf = shingler(tx)
-                    last, kept = x, (h, weights.value(h, tf))
-                h, tf = shingler(ty)
-                sim = similarity(kept, (h, weights.value(h, tf)))
+            left, right = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            texts = dict(zip(left, batch.column("text_a").to_pylist(), strict=True))
+            texts.update(zip(right, batch.column("text_b").to_pylist(), strict=True))
+            sets = {x: (h, weights.value(h, tf)) for x, (h, tf) in zip(texts, shingler(list(texts.values())), strict=True)}
+            for x, y in zip(left, right, strict=True):
+                sim = similarity(sets[x], sets[y])
                 if sim >= near.similarity:
                     a.append(x)
                     b.append(y)
@@ -239,6 +296,46 @@ def _verify(pairs: DataFrame, texts: DataFrame, weights, near: Near) -> DataFram
     return in_batches(joined.select("a", "b", "text_a", "text_b"), run, "a string, b string, similarity double")
 
 
+def _compare_small(texts: DataFrame, weights, near: Near) -> DataFrame:
+    """Links within groups (label) of at most SMALL texts, as many as connect each class."""
+
+    def links(rows, shingler):
+        sets = [(h, weights.value(h, tf)) for h, tf in shingler([t for _, t in rows])]
+        totals = [float(w.sum(dtype=np.float64)) for _, w in sets]
+        root = list(range(len(rows)))
+        for i in range(len(rows)):
+            for j in range(i):
+                low, high = sorted((totals[i], totals[j]))
+                if root[i] != root[j] and low >= near.similarity * high * (1 - 1e-6):
+                    sim = similarity(sets[i], sets[j])
+                    if sim >= near.similarity:
+                        gone = root[i]
+                        root = [root[j] if x == gone else x for x in root]
+                        yield rows[j][0], rows[i][0], sim
+
+    def run(batches):
+        shingler, rows, label, out = Shingler(near.words), [], None, []
+
+        def send():
+            a, b, s = zip(*out, strict=True) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+
+        for batch in batches:
+            for own, node, text in zip(*(batch.column(c).to_pylist() for c in ("label", "node", "text")), strict=True):
+                if own != label:
+                    out += links(rows, shingler)
+                    rows, label = [], own
+                rows.append((node, text))
+            yield send()
+            out = []
+        out += links(rows, shingler)
+        yield send()
+
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.select("label", "node", "text").repartition(parts, "label").sortWithinPartitions("label")
+    return in_batches(dealt, run, "a string, b string, similarity double")
+
+
 def _prefixes(texts: DataFrame, weights, near: Near) -> DataFrame:
     """The rarest shingles of each text, of more than 1 - similarity of its weight."""
 
@@ -247,7 +344,7 @@ def _prefixes(texts: DataFrame, weights, near: Near) -> DataFrame:
         for batch in batches:
             nodes, labels, totals, hashes = [], [], [], []
             for node, label, text in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "text")), strict=True):
-                h, tf = shingler(text)
+                ((h, tf),) = shingler([text])
                 w = weights.value(h, tf).astype(np.float64)
                 order = np.lexsort((h, weights.value.df[weights.value.bucket(h)]))
                 rest = w.sum() - np.cumsum(w[order])
@@ -297,31 +394,41 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
         """Distinct pairs whose weights allow the similarity."""
         return pairs.distinct().join(heavy, "a").where(close).select("a", F.col("node").alias("b"))
 
-    tried = cut(candidates_of(members.where("node <> leader").select(F.col("leader").alias("a"), "node", "weight")))
-    links = cut(_verify(tried, texts, weights, near))
-
-    labelled, _ = _labelled(members, links)
-    labelled = cut(labelled)
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    left = labelled.join(open_keys, "key", "left_semi")
-    leaders = _some(left, near.more_leaders)
-    pairs = left.join(leaders, "key").where("label <> label_a").select("a", "node", "weight")
-    again = candidates_of(pairs).join(tried, ["a", "b"], "left_anti")
-    again = cut(again)
-    links = cut(links.unionByName(_verify(again, texts, weights, near)))
-
-    labelled, labels = _labelled(members, links)
-    labelled = cut(labelled)
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rest = labelled.join(open_keys, "key", "left_semi").select("node", "label").distinct()
-    prefixes = cut(_prefixes(texts.join(rest, "node"), weights, near))
-    one = prefixes.select("shingle", "node", "label", "weight")
-    two = prefixes.select("shingle", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("weight").alias("weight_a"))
-    last = one.join(two, "shingle").where((F.col("node") > F.col("a")) & (F.col("label") != F.col("label_a")) & close)
-    last = last.select("a", F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti")
-    found = cut(_verify(cut(last), texts, weights, near))
-    if not found.isEmpty():
-        labels = components(links.unionByName(found))
+    # texts linked by buckets, before any comparison; nearly all such groups are small
+    grouped = components(members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    sizes = grouped.groupBy("label").agg((F.count(F.lit(1)) <= SMALL).alias("small"))
+    grouped = cut(grouped.join(sizes, "label"))
+    links = cut(_compare_small(texts.join(grouped.where("small").select("node", "label"), "node"), weights, near))
+    large = grouped.where("not small").select("node")
+    if large.isEmpty():
+        labels = components(links)
+    else:
+        members = cut(members.join(large, "node", "left_semi"))
+        tried = cut(candidates_of(members.where("node <> leader").select(F.col("leader").alias("a"), "node", "weight")))
+        links = cut(links.unionByName(_verify(tried, texts, weights, near)))
+
+        labelled, _ = _labelled(members, links)
+        labelled = cut(labelled)
+        open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        left = labelled.join(open_keys, "key", "left_semi")
+        leaders = _some(left, near.more_leaders)
+        pairs = left.join(leaders, "key").where("label <> label_a").select("a", "node", "weight")
+        again = candidates_of(pairs).join(tried, ["a", "b"], "left_anti")
+        again = cut(again)
+        links = cut(links.unionByName(_verify(again, texts, weights, near)))
+
+        labelled, labels = _labelled(members, links)
+        labelled = cut(labelled)
+        open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        rest = labelled.join(open_keys, "key", "left_semi").select("node", "label").distinct()
+        prefixes = cut(_prefixes(texts.join(rest, "node"), weights, near))
+        one = prefixes.select("shingle", "node", "label", "weight")
+        two = prefixes.select("shingle", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("weight").alias("weight_a"))
+        last = one.join(two, "shingle").where((F.col("node") > F.col("a")) & (F.col("label") != F.col("label_a")) & close)
+        last = last.select("a", F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti")
+        found = cut(_verify(cut(last), texts, weights, near))
+        if not found.isEmpty():
+            labels = components(links.unionByName(found))
     return rows.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 

@@ -1,6 +1,5 @@
 import random
 from collections import Counter
-from hashlib import md5
 
 import numpy as np
 import pytest
@@ -29,7 +28,7 @@ def make_texts(seed=3):
 
 def brute_classes(texts, near=nd.Near()):
     shingler = nd.Shingler(near.words)
-    sets = [shingler(t) for t in texts]
+    sets = shingler(texts)
     df = Counter(int(x) >> (64 - 20) for h, _ in sets for x in h)
     table = np.zeros(near.df_buckets, np.int64)
     for k, v in df.items():
@@ -54,8 +53,9 @@ def brute_classes(texts, near=nd.Near()):
     return {frozenset(g) for g in groups.values()}
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_classes_equal_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,small", [(3, 64), (4, 64), (3, 4), (5, 0)])
+def test_classes_equal_brute_force(spark, seed, small, monkeypatch):
+    monkeypatch.setattr(nd, "SMALL", small)  # larger groups go through leaders and prefixes
     texts = make_texts(seed)
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, node string, label string").repartition(3)
     got = {}
@@ -71,13 +71,24 @@ def test_classes_equal_brute_force(spark, seed):
 def test_sampling_agrees_with_weighted_similarity():
     rng = np.random.default_rng(0)
     h = np.unique(rng.integers(0, 2**63, 600, dtype=np.uint64))
-    w = (1 + rng.random(len(h))).astype(np.float32)
-    a, b = (h[:500], w[:500]), (np.concatenate([h[60:500], h[540:]]), np.concatenate([w[60:500] * 1.1, w[540:]]))
-    agree = []
-    for _ in range(1):
-        sampler = nd.Sampler(600, 1)
-        agree.append((sampler(*a) == sampler(*b)).mean())
-    assert abs(np.mean(agree) - nd.similarity(a, b)) < 0.06
+    level, tf = rng.integers(0, 17, len(h)).astype(np.int32), rng.choice([1, 1, 1, 2, 5], len(h))
+    a, b = np.arange(500), np.r_[60:500, 540 : len(h)]
+    other = tf.copy()
+    other[100:160] += 1
+    w, v = (1 + level / 16) * tf, (1 + level / 16) * other
+    sampler = nd.Sampler(600, 1)
+    agree = (sampler(h[a], tf[a], level[a]) == sampler(h[b], other[b], level[b])).mean()
+    assert abs(agree - nd.similarity((h[a], w[a]), (h[b], v[b]))) < 0.06
+
+
+def test_shingles_depend_on_words_alone():
+    shingler = nd.Shingler(5)
+    texts = ["a b c d e f", " A b\tc\nd  e f ", "", None, "x", "a b c d e f a b c d e", "é" * 50]
+    got = shingler(texts)
+    assert got[0][0].tolist() == got[1][0].tolist() and len(got[0][0]) == 2
+    assert len(got[2][0]) == len(got[3][0]) == 0 and len(got[4][0]) == 1
+    assert sorted(got[5][1].tolist()) == [1] * 5 + [2]
+    assert [h.tolist() for h, _ in got] == [shingler([t])[0][0].tolist() for t in texts]
 
 
 def test_null_ids_and_repeated_rows(spark):
@@ -95,4 +106,3 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("x", "y")], "a string, b string")
     labels = {r.node: r.label for r in components(edges).collect()}
     assert set(labels.values()) == {"000", "x"} and len(labels) == 43
-    _ = md5
