@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +47,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Shared:
+    """A broadcast of any object, its class included, so executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, thing) -> None:
+        self.pickled = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+    def __getstate__(self):
+        return {"pickled": self.pickled}
+
+    @property
+    def value(self):
+        if "own" not in self.__dict__:
+            self.own = cloudpickle.loads(self.pickled.value)
+        return self.own
+
+
 def in_batches(df: DataFrame, function: Callable, schema: str, rows: int = 256) -> DataFrame:
     """mapInArrow that hands ``function`` small record batches, so that a worker's
     memory follows a few hundred rows and not Spark's batch size."""
 
+    # texts may be long: fewer rows at once than Spark's usual number
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 16 << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.sub(r"\D", "", conf.get(key))
+        if not 0 < int(now) <= most:
+            conf.set(key, str(most))
+
     def run(batches: Iterator) -> Iterator:
         def small():
             for batch in batches:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import in_batches, table
+from basalt.llm.common import Shared, in_batches, table
 
 WORD = re.compile(r"[^\W_]+")
 MASKS = ("1111011", "11001000111", "11010110001")
@@ -150,12 +150,12 @@ class Seeds:
 
 def blocks(benchmark: DataFrame):
     """The benchmark's items in blocks of bounded size, each as a broadcast."""
-    sc = benchmark.sparkSession.sparkContext
+    spark = benchmark.sparkSession
     items = benchmark.selectExpr("cast(item_id as bigint) item_id", "text").where("text is not null")
     n_blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     for b in range(n_blocks):
         block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b)
-        yield sc.broadcast(Seeds([(r.item_id, r.text) for r in block.orderBy("item_id", "text").collect()]))  # about BLOCK_ITEMS rows
+        yield Shared(spark, Seeds([(r.item_id, r.text) for r in block.orderBy("item_id", "text").collect()]))  # about BLOCK_ITEMS rows
 
 
 OVERLAP = "doc_id long, item_id long, start_word long, n_matches long, share double"

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import crc_mod, cut, in_batches, table
+from basalt.llm.common import Shared, crc_mod, cut, in_batches, table
 
 FREQUENT = 200_000  #: words that are broadcast at most
 PRIOR_MASS = 1e5  #: pieces that the prior counts for
@@ -225,16 +225,16 @@ def reweigh(words: DataFrame, lattice, prior: np.ndarray, n_docs: int) -> np.nda
 
 def score(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").withColumn("held_out", crc_mod("doc_id", 7) == 2)
     n_docs = docs.where(~F.col("held_out")).count()
     pieces, byte_pieces, prior = vocabulary(model_file)
     with np.errstate(divide="ignore"):
         first = Lattice([*pieces, ""], byte_pieces, np.log(prior))
     counts = cut(count_words(docs))
-    log_p = reweigh(counts, sc.broadcast(first), prior, n_docs)
+    log_p = reweigh(counts, Shared(spark, first), prior, n_docs)
     first.log_p = log_p
-    words = cut(_per_word(counts, sc.broadcast(first)))
+    words = cut(_per_word(counts, Shared(spark, first)))
     totals = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n, v = (totals.n or 0) + n_docs, totals.v + (n_docs > 0)
     denominator, end_z = math.log10(n + v + 1), float(log_p[-1])
@@ -251,7 +251,7 @@ def score(docs: DataFrame, model_file: str) -> DataFrame:
     known = {} if top is None else {w.encode(): i for i, w in enumerate(top["word"].to_pylist())}
     c = np.append(top["c"].to_numpy() if top is not None else np.zeros(0), 0).astype(float)
     z = np.append(top["z"].to_numpy() if top is not None else np.zeros(0), 0.0)
-    common = sc.broadcast((known, np.log10(c + 1), z, c > 0))
+    common = Shared(spark, (known, np.log10(c + 1), z, c > 0))
 
     def run(batches):
         index, base, z, seen = common.value

@@ -9,8 +9,8 @@ Samples are banded; texts that share a band are candidates.
 
 No task ever sees a whole bucket and no bucket is expanded into its pairs:
 
-Candidate groups (texts linked by buckets) of at most ``SMALL`` texts are compared
-in one task each.  In larger ones
+Candidate groups (texts linked by buckets) of at most ``SMALL`` texts and
+``SMALL_CHARS`` characters are compared in one task each.  In larger ones
 
 1. every member is compared with its bucket's first text, then those not yet in
    one class with it are compared with a few more, which settles dense groups;
@@ -35,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import BROADCAST_ROWS, cut, in_batches, table, whole_text
+from basalt.llm.common import BROADCAST_ROWS, Shared, cut, in_batches, table, whole_text
 from basalt.llm.components import components
 
 DRAWS = 1 << 16
 LEVELS = 16  #: of the IDF between 1 and 2
-SMALL = 64  #: candidate groups of up to so many texts are compared in one task
+SMALL = 512  #: candidate groups of up to so many texts, and
+SMALL_CHARS = 8 << 20  #: so many characters, are compared in one task
 
 
 @dataclass(frozen=True)
@@ -369,10 +370,10 @@ def _labelled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
 
 def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """Adds ``node`` (digest of the text) and ``label`` (its class) to doc_id."""
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     rows = docs.select("doc_id", whole_text().alias("text")).withColumn("node", F.md5(F.col("text").cast("binary")))
     df, n = document_frequencies(docs, near)
-    weights = sc.broadcast(Weights(df, n))  # a table of fixed size
+    weights = Shared(spark, Weights(df, n))  # a table of fixed size
     sampled = cut(_sample(rows.select("node", "text"), weights, near))
     keyed = sampled.select("node", "weight", F.explode("keys").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
@@ -396,7 +397,8 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
     # texts linked by buckets, before any comparison; nearly all such groups are small
     grouped = components(members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    sizes = grouped.groupBy("label").agg((F.count(F.lit(1)) <= SMALL).alias("small"))
+    sizes = grouped.join(texts.select("node", F.length("text").alias("chars")), "node").groupBy("label")
+    sizes = sizes.agg(((F.count(F.lit(1)) <= SMALL) & (F.sum("chars") <= SMALL_CHARS)).alias("small"))
     grouped = cut(grouped.join(sizes, "label"))
     links = cut(_compare_small(texts.join(grouped.where("small").select("node", "label"), "node"), weights, near))
     large = grouped.where("not small").select("node")

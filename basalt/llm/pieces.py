@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm.common import in_batches, table
+from basalt.llm.common import Shared, in_batches, table
 
 SPACE_SYMBOL = "▁"
 NONE = np.int32(2**31 - 1)
@@ -270,7 +270,7 @@ class PieceCodec:
 
 def encode_decode(docs: DataFrame, model_file: str, keep_texts: bool = True) -> DataFrame:
     """doc_id, n_tokens, both digests and, if ``keep_texts``, ids and the decoded text."""
-    codec = docs.sparkSession.sparkContext.broadcast(PieceCodec(model_file))  # a vocabulary: a few MB
+    codec = Shared(docs.sparkSession, PieceCodec(model_file))  # a vocabulary: a few MB
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep_texts:
         schema += ", ids array<int>, decoded string"

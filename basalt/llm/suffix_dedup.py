@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import BROADCAST_ROWS, cut, in_batches, table, whole_text
+from basalt.llm.common import BROADCAST_ROWS, Shared, cut, in_batches, table, whole_text
 
 LENGTH = 100  #: bytes of a string that counts as repeated
 GRAM = 32  #: bytes of an anchor
@@ -294,7 +294,7 @@ def _first_rows(docs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     """doc, tie and the removed byte ranges, by start, of first documents that lose some."""
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     first = _first_rows(docs)
 
     def count(batches):
@@ -321,7 +321,7 @@ def repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     words = bits.groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("v")).toArrow()  # 2**21 rows at most
     bitmap = np.zeros(1 << (BITS - 6), np.uint64)
     bitmap[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
-    shared = sc.broadcast(bitmap)
+    shared = Shared(spark, bitmap)
 
     def gather(batches):
         seen = shared.value

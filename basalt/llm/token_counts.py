@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import in_batches, table, whole_text
+from basalt.llm.common import Shared, in_batches, table, whole_text
 
 BLOCK = 64  #: pre-tokens in a leaf of a new tree; a leaf may grow to four times as many
 LOOK = 2  #: characters behind a pre-token that its match can have looked at
@@ -207,7 +207,7 @@ def count_edits(docs: DataFrame, rank_file: str, pattern: str, keep_trees: bool
     With ``keep_trees`` the edited text's leaves follow: characters and tokens of
     each pre-token.
     """
-    counter = docs.sparkSession.sparkContext.broadcast(Counter(rank_file, pattern))  # a vocabulary: about 1 MB
+    counter = Shared(docs.sparkSession, Counter(rank_file, pattern))  # a vocabulary: about 1 MB
     schema = "doc_id long, n_pretokens long, n_tokens long, n_edits long, n_reencoded long, n_chars_after long, n_pretokens_after long, n_tokens_after long"
     if keep_trees:
         schema += ", leaf_chars array<int>, leaf_tokens array<int>"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import crc_mod, in_batches, table
+from basalt.llm.common import Shared, crc_mod, in_batches, table
 
 SEED = frozenset(
     "idiot idiots idiotic moron morons moronic stupid dumb fool fools loser losers pathetic worthless scum trash garbage "
@@ -241,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
             .limit(fit.lexicon)
         )
         lexicon = {r.word: float(r.odds) for r in top.collect()}  # at most fit.lexicon rows
-    held = spark.sparkContext.broadcast(lexicon)
+    held = Shared(spark, lexicon)
 
     def measure(batches):
         for batch in batches:
@@ -270,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and the score of every row of ``docs``."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = Shared(docs.sparkSession, model)
 
     def run(batches):
         own = held.value
