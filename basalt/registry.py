@@ -6,14 +6,29 @@ table folder, so that a query and its oracle cannot drift apart.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basalt.sources.tables import sql
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["relational"]
+MODULES = [
+    "relational",
+    "aggregation",
+    "windows",
+    "subqueries",
+    "scalars",
+    "dates",
+    "documents",
+    "search",
+    "vectors",
+    "changes",
+    "extras",
+]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
@@ -31,6 +46,15 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def shared(name: str, text: str, oracle: str | None = None) -> None:
+    """Registers SQL over ``{table}`` names that both engines run (or ``oracle`` where dialects differ)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return sql(spark, sf_dir, text)
+
+    query(name, re.sub(r"{(\w+)}", r"\1", oracle or text))(run)
+
+
 def _load() -> None:
     for module in MODULES:
         import_module(f"basalt.plans.{module}")
