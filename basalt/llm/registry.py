@@ -26,7 +26,9 @@ def _module(name: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(_module(name), name) for name in QUERIES}
+    import corpus_pipeline
+
+    return {name: getattr(_module(name), name) for name in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
