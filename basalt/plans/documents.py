@@ -1 +1,69 @@
-"""Empty."""
+"""JSON functions and JSON tables."""
+
+from pyspark.sql import functions as F
+
+from basalt.functions import json_text as J
+from basalt.registry import query
+from basalt.sources.tables import read
+
+NESTED = """'{"u":' || user_id || ',"tags":["' || event_type || '",' || (event_id % 3) || ',null],"in":{"k":' || event_id || ',"ok":true}}'"""
+
+
+def docs(spark, sf_dir):
+    text = F.concat(
+        F.lit('{"u":'), F.col("user_id"), F.lit(',"tags":["'), F.col("event_type"), F.lit('",'), F.col("event_id") % 3, F.lit(',null],"in":{"k":'), F.col("event_id"), F.lit(',"ok":true}}')
+    )
+    return read(spark, sf_dir, "events").where("event_id < 2000").select("event_id", "props", text.alias("j"))
+
+
+def over(select: str) -> str:
+    return f"SELECT event_id, {select} FROM (SELECT event_id, props, {NESTED} AS j FROM events WHERE event_id < 2000)"
+
+
+@query("json_extract", over("json_extract_string(props, '$.k') AS k, json_extract_string(j, '$.tags[0]') AS t, CAST(json_extract(j, '$.in') AS VARCHAR) AS i, CAST(json_extract(j, '$.tags') AS VARCHAR) AS a, CAST(json_extract(j, '$.tags[1]') AS VARCHAR) AS n"))
+def extract(spark, sf_dir):
+    j = F.col("j")
+    return docs(spark, sf_dir).select("event_id", F.get_json_object("props", "$.k").alias("k"), J.arrow_text(j, "$.tags[0]").alias("t"), J.arrow(j, "in").alias("i"), J.extract(j, "$.tags").alias("a"), J.extract(j, "$.tags[#-2]").alias("n"))
+
+
+@query("json_type_length_valid", over("CASE json_type(j, '$.tags') WHEN 'ARRAY' THEN 'array' END AS t, CASE WHEN json_type(j, '$.in.ok') = 'BOOLEAN' THEN 'true' END AS b, CASE WHEN json_type(j, '$.tags[2]') = 'NULL' THEN 'null' END AS n, CAST(json_array_length(j, '$.tags') AS BIGINT) AS l, json_valid(j) AS v, json_valid(j || '}') AS w"))
+def types(spark, sf_dir):
+    j = F.col("j")
+    return docs(spark, sf_dir).select(
+        "event_id", J.json_type(j, "$.tags").alias("t"), J.json_type(j, "$.in.ok").alias("b"), J.json_type(j, "$.tags[2]").alias("n"), J.array_length(j, "$.tags").alias("l"),
+        J.valid(j).alias("v"), J.valid(F.concat(j, F.lit("}"))).alias("w"),
+    )
+
+
+@query("json_edits", over("""replace(j, '"ok":true', '"ok":true,"new":1') AS i, replace(j, '"in":{"k":' || event_id || ',"ok":true}', '"in":9') AS r, replace(j, ',"in":{"k":' || event_id || ',"ok":true}', '') AS d, replace(j, ',null]', ',null,7]') AS a, replace(j, ',"ok":true}', '}') || '' AS p"""))
+def edits(spark, sf_dir):
+    j = F.col("j")
+    return docs(spark, sf_dir).select(
+        "event_id", J.edit(j, "insert", ("$.in.new", 1), ("$.u", 0)).alias("i"), J.edit(j, "replace", ("$.in", 9), ("$.none", 1)).alias("r"), J.json_remove(j, "$.in").alias("d"),
+        J.edit(j, "set", ("$.tags[#]", 7)).alias("a"), J.json_patch(j, '{"in":{"ok":null}}').alias("p"),
+    )
+
+
+@query("json_build", over("'[' || event_id || ',\"x\",null]' AS a, '{\"id\":' || event_id || ',\"t\":\"y\"}' AS o, json_valid(j) AS m"))
+def build(spark, sf_dir):
+    e = F.col("event_id")
+    return docs(spark, sf_dir).select("event_id", J.json_array(e, F.lit("x"), F.lit(None).cast("string")).alias("a"), J.json_object(("id", e), ("t", F.lit("y"))).alias("o"), (J.json_minify(F.col("j")) == F.col("j")).alias("m"))
+
+
+@query("s14_json_each", f"SELECT event_id, e.key AS key, e.value AS v FROM (SELECT event_id, {NESTED} AS j FROM events WHERE event_id < 2000) d, LATERAL (SELECT CAST(i - 1 AS VARCHAR) AS key, json_extract_string(j, '$.tags[' || (i - 1) || ']') AS value FROM (SELECT unnest(range(1, 4)) AS i)) e")
+def each(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("event_id", F.explode(J.each(F.col("j"), "$.tags")).alias("e"))
+    return rows.select("event_id", "e.key", F.col("e.value").alias("v"))
+
+
+@query("s14_json_tree", f"SELECT event_id, CAST(count(*) AS BIGINT) AS n, CAST(max(depth) AS BIGINT) AS deep FROM (SELECT event_id, unnest([0, 1, 1, 2, 2, 2, 1, 2, 2]) AS depth FROM events WHERE event_id < 2000) GROUP BY event_id")
+def tree(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("event_id", F.explode(J.tree(F.col("j"))).alias("e"))
+    depth = F.size(F.regexp_extract_all("e.fullkey", F.lit(r"(\.|\[)"), F.lit(1)))
+    return rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.max(depth).cast("bigint").alias("deep"))
+
+
+@query("json_variant", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def variant(spark, sf_dir):
+    """Binary JSON: a variant, read by path without parsing again."""
+    return read(spark, sf_dir, "events").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
