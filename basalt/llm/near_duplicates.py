@@ -268,20 +268,22 @@ def _sample(texts: DataFrame, weights, near: Near) -> DataFrame:
 def _verify(pairs: DataFrame, texts: DataFrame, weights, near: Near) -> DataFrame:
     """Those of ``pairs`` (a, b) whose similarity is high enough.
 
-    ``a`` may be in very many pairs: its row is dealt out in as many copies as it has
-    thousands of pairs, so no task gets all of them.
+    The text of ``a`` comes once, before those of its partners.  ``a`` may be in very
+    many pairs: it is dealt out in as many copies as it has thousands of them, so no
+    task gets them all.
     """
 
     def run(batches):
-        shingler = Shingler(near.words)
+        shingler, own, current = Shingler(near.words), None, None
         for batch in batches:
             a, b, s = [], [], []
-            left, right = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            texts = dict(zip(left, batch.column("text_a").to_pylist(), strict=True))
-            texts.update(zip(right, batch.column("text_b").to_pylist(), strict=True))
-            sets = {x: (h, weights.value(h, tf)) for x, (h, tf) in zip(texts, shingler(list(texts.values())), strict=True)}
-            for x, y in zip(left, right, strict=True):
-                sim = similarity(sets[x], sets[y])
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b")), shingler(batch.column("text").to_pylist()), strict=True)
+            for x, y, (h, tf) in rows:
+                if y is None:  # the row that brings a's text
+                    own, current = x, (h, weights.value(h, tf))
+                    continue
+                assert own == x
+                sim = similarity(current, (h, weights.value(h, tf)))
                 if sim >= near.similarity:
                     a.append(x)
                     b.append(y)
@@ -289,12 +291,13 @@ def _verify(pairs: DataFrame, texts: DataFrame, weights, near: Near) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
     per_a = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 1000).cast("int").alias("copies"))
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(per_a, "a")
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(per_a, "a")
-    right = right.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
-    joined = left.select("a", "salt", "text_a").join(right.select("a", "salt", "b", "text_b"), ["a", "salt"])
-    return in_batches(joined.select("a", "b", "text_a", "text_b"), run, "a string, b string, similarity double")
+    left = texts.select(F.col("node").alias("a"), "text").join(per_a, "a")
+    left = left.select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(None).cast("string").alias("b"), "text")
+    right = pairs.join(texts.select(F.col("node").alias("b"), "text"), "b").join(per_a, "a")
+    right = right.select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"), "b", "text")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.unionAll(right).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    return in_batches(dealt.select("a", "b", "text"), run, "a string, b string, similarity double")
 
 
 def _compare_small(texts: DataFrame, weights, near: Near) -> DataFrame:
@@ -406,6 +409,7 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
         labels = components(links)
     else:
         members = cut(members.join(large, "node", "left_semi"))
+        texts = cut(texts.join(large, "node", "left_semi"))
         tried = cut(candidates_of(members.where("node <> leader").select(F.col("leader").alias("a"), "node", "weight")))
         links = cut(links.unionByName(_verify(tried, texts, weights, near)))
 
