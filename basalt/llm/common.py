@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -44,9 +45,20 @@ def cut(df: DataFrame) -> DataFrame:
     decided once (sampled randomness, sketches) is not decided again.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files of plans that nobody holds any more.
+
+    Its cleaner acts when the driver's JVM collects the plans, which it does by
+    itself only every half hour or when the driver's memory is full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Shared:
     """A broadcast of any object, its class included, so executors need no copy of this package."""
 
