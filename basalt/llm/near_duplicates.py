@@ -17,7 +17,8 @@ Candidate groups (texts linked by buckets) of at most ``SMALL`` texts and
 2. buckets in which several classes are left over are finished exactly: their
    texts' rarest shingles, of more than a fifth of the weight, are joined, which
    finds every pair of similarity 0.8, while passages and lines that many texts
-   share are among the commonest shingles and join nothing.
+   share are among the commonest shingles and join nothing; pairs whose common
+   part of these shingles is too light are ruled out.
 
 Exact copies are one node (the text's digest) throughout.  All links found are
 verified by the weighted Jaccard similarity of whole texts.
@@ -39,19 +40,20 @@ from basalt.llm.common import BROADCAST_ROWS, Shared, cut, in_batches, table, wh
 from basalt.llm.components import components
 
 DRAWS = 1 << 16
+ID_ROWS = BROADCAST_ROWS // 2
 LEVELS = 16  #: of the IDF between 1 and 2
-SMALL = 512  #: candidate groups of up to so many texts, and
-SMALL_CHARS = 8 << 20  #: so many characters, are compared in one task
+SMALL = 100  #: candidate groups of up to so many texts, and
+SMALL_CHARS = 2 << 20  #: so many characters, are compared in one task
 
 
 @dataclass(frozen=True)
 class Near:
     words: int = 5
     similarity: float = 0.8
-    bands: int = 12
-    rows: int = 3
+    bands: int = 14
+    rows: int = 4
     df_buckets: int = 1 << 20
-    more_leaders: int = 8
+    more_leaders: int = 4
 
 
 SPACES = np.zeros(256, bool)
@@ -129,6 +131,11 @@ class Shingler:
         return out
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """Broadcast if it is small: rows of ids, so that texts stay where they are."""
+    return F.broadcast(df) if df.count() <= ID_ROWS else df
+
+
 class Weights:
     """IDF of shingles from the table of document frequencies."""
 
@@ -290,11 +297,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, weights, near: Near) -> DataFram
                     s.append(sim)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
-    per_a = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 1000).cast("int").alias("copies"))
-    left = texts.select(F.col("node").alias("a"), "text").join(per_a, "a")
+    per_a = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 1000).cast("int").alias("copies")))
+    left = texts.select(F.col("node").alias("a"), "text").join(_bounded(per_a), "a")
     left = left.select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(None).cast("string").alias("b"), "text")
-    right = pairs.join(texts.select(F.col("node").alias("b"), "text"), "b").join(per_a, "a")
-    right = right.select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"), "b", "text")
+    salted = cut(pairs.join(per_a, "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"), "b"))
+    right = texts.select(F.col("node").alias("b"), "text").join(_bounded(salted), "b").select("a", "salt", "b", "text")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = left.unionAll(right).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
     return in_batches(dealt.select("a", "b", "text"), run, "a string, b string, similarity double")
@@ -346,24 +353,34 @@ def _prefixes(texts: DataFrame, weights, near: Near) -> DataFrame:
     def run(batches):
         shingler = Shingler(near.words)
         for batch in batches:
-            nodes, labels, totals, hashes = [], [], [], []
+            nodes, labels, totals, rests, hashes, parts = [], [], [], [], [], []
             for node, label, text in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "text")), strict=True):
                 ((h, tf),) = shingler([text])
                 w = weights.value(h, tf).astype(np.float64)
                 order = np.lexsort((h, weights.value.df[weights.value.bucket(h)]))
                 rest = w.sum() - np.cumsum(w[order])
                 n = int(np.searchsorted(-rest, -(near.similarity * w.sum()) * (1 - 1e-9), "right")) + 1
-                some = h[order[: min(n, len(h))]].view(np.int64)
-                nodes += [node] * len(some)
-                labels += [label] * len(some)
-                totals += [float(w.sum())] * len(some)
-                hashes.append(some)
+                n = min(n, len(h))
+                nodes += [node] * n
+                labels += [label] * n
+                totals += [float(w.sum())] * n
+                rests += [float(max(rest[n - 1], 0))] * n
+                hashes.append(h[order[:n]].view(np.int64))
+                parts.append(w[order[:n]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.string()), pa.array(labels, pa.string()), pa.array(totals, pa.float64()), pa.array(np.concatenate([*hashes, np.zeros(0, np.int64)]), pa.int64())],
-                names=["node", "label", "weight", "shingle"],
+                [
+                    pa.array(nodes, pa.string()),
+                    pa.array(labels, pa.string()),
+                    pa.array(totals, pa.float64()),
+                    pa.array(rests, pa.float64()),
+                    pa.array(np.concatenate([*hashes, np.zeros(0, np.int64)]), pa.int64()),
+                    pa.array(np.concatenate([*parts, np.zeros(0)]), pa.float64()),
+                ],
+                names=["node", "label", "weight", "rest", "shingle", "part"],
             )
 
-    return in_batches(texts.select("node", "label", "text"), run, "node string, label string, weight double, shingle long")
+    schema = "node string, label string, weight double, rest double, shingle long, part double"
+    return in_batches(texts.select("node", "label", "text"), run, schema)
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -387,9 +404,13 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
     if candidates.count() <= BROADCAST_ROWS:
         candidates = F.broadcast(candidates)
     some = rows.join(candidates, F.col("node") == F.col("candidate"), "left_semi")
-    first = some.groupBy("node").agg(F.min("doc_id").alias("first_id")).withColumnRenamed("node", "first_node")
-    texts = some.join(first, (F.col("node") == F.col("first_node")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    texts = cut(texts.select("node", "text").dropDuplicates(["node"]))
+    ids = cut(some.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("times")))
+    first = ids.groupBy(F.col("node").alias("first_node")).agg(F.min("doc_id").alias("first_id"))
+    texts = some.join(_bounded(first), (F.col("node") == F.col("first_node")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    texts = texts.select("node", "text")
+    if not ids.where("times > 1").isEmpty():  # rows that agree in id and text
+        texts = texts.dropDuplicates(["node"])
+    texts = cut(texts)
 
     close = F.least("weight", "weight_a") >= near.similarity * F.greatest("weight", "weight_a") * (1 - 1e-6)
     heavy = sampled.select(F.col("node").alias("a"), F.col("weight").alias("weight_a"))
@@ -403,8 +424,8 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
     sizes = grouped.join(texts.select("node", F.length("text").alias("chars")), "node").groupBy("label")
     sizes = sizes.agg(((F.count(F.lit(1)) <= SMALL) & (F.sum("chars") <= SMALL_CHARS)).alias("small"))
     grouped = cut(grouped.join(sizes, "label"))
-    links = cut(_compare_small(texts.join(grouped.where("small").select("node", "label"), "node"), weights, near))
-    large = grouped.where("not small").select("node")
+    links = cut(_compare_small(texts.join(_bounded(grouped.where("small").select("node", "label")), "node"), weights, near))
+    large = _bounded(grouped.where("not small").select("node"))
     if large.isEmpty():
         labels = components(links)
     else:
@@ -427,11 +448,14 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
         labelled = cut(labelled)
         open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
         rest = labelled.join(open_keys, "key", "left_semi").select("node", "label").distinct()
-        prefixes = cut(_prefixes(texts.join(rest, "node"), weights, near))
-        one = prefixes.select("shingle", "node", "label", "weight")
-        two = prefixes.select("shingle", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("weight").alias("weight_a"))
-        last = one.join(two, "shingle").where((F.col("node") > F.col("a")) & (F.col("label") != F.col("label_a")) & close)
-        last = last.select("a", F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti")
+        prefixes = cut(_prefixes(texts.join(_bounded(cut(rest)), "node"), weights, near))
+        one, two = (prefixes.select("shingle", *[F.col(c).alias(c + tag) for c in ("node", "label", "weight", "rest", "part")]) for tag in ("", "_a"))
+        # what two texts share is in their prefixes or beyond one's
+        bound = F.sum(F.least("part", "part_a")) + F.max(F.greatest("rest", "rest_a"))
+        needed = near.similarity / (1 + near.similarity) * F.max(F.col("weight") + F.col("weight_a")) * (1 - 1e-6)
+        last = one.join(two, "shingle").where((F.col("node") > F.col("node_a")) & (F.col("label") != F.col("label_a")) & close)
+        last = last.groupBy(F.col("node_a").alias("a"), F.col("node").alias("b")).agg((bound >= needed).alias("ok")).where("ok").drop("ok")
+        last = last.join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti")
         found = cut(_verify(cut(last), texts, weights, near))
         if not found.isEmpty():
             labels = components(links.unionByName(found))
