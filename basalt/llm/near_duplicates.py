@@ -17,8 +17,9 @@ Candidate groups (texts linked by buckets) of at most ``SMALL`` texts and
 2. buckets in which several classes are left over are finished exactly: their
    texts' rarest shingles, of more than a fifth of the weight, are joined, which
    finds every pair of similarity 0.8, while passages and lines that many texts
-   share are among the commonest shingles and join nothing; pairs whose common
-   part of these shingles is too light are ruled out.
+   share are among the commonest shingles and join nothing.  A bitmap of each
+   text rules out pairs with too many shingles apart, then the weight that the
+   joined shingles have in common.
 
 Exact copies are one node (the text's digest) throughout.  All links found are
 verified by the weighted Jaccard similarity of whole texts.
@@ -33,7 +34,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.llm.common import BROADCAST_ROWS, Shared, cut, in_batches, table, whole_text
@@ -41,6 +42,8 @@ from basalt.llm.components import components
 
 DRAWS = 1 << 16
 ID_ROWS = BROADCAST_ROWS // 2
+BITMAP = 4  #: words of 64 bits
+BITS = [f"b{k}" for k in range(BITMAP)]
 LEVELS = 16  #: of the IDF between 1 and 2
 SMALL = 100  #: candidate groups of up to so many texts, and
 SMALL_CHARS = 2 << 20  #: so many characters, are compared in one task
@@ -353,7 +356,7 @@ def _prefixes(texts: DataFrame, weights, near: Near) -> DataFrame:
     def run(batches):
         shingler = Shingler(near.words)
         for batch in batches:
-            nodes, labels, totals, rests, hashes, parts = [], [], [], [], [], []
+            nodes, labels, totals, rests, hashes, parts, bitmaps = [], [], [], [], [], [], []
             for node, label, text in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "text")), strict=True):
                 ((h, tf),) = shingler([text])
                 w = weights.value(h, tf).astype(np.float64)
@@ -367,6 +370,9 @@ def _prefixes(texts: DataFrame, weights, near: Near) -> DataFrame:
                 rests += [float(max(rest[n - 1], 0))] * n
                 hashes.append(h[order[:n]].view(np.int64))
                 parts.append(w[order[:n]])
+                bits = np.zeros(64 * BITMAP, np.uint8)
+                bits[(h % np.uint64(len(bits))).astype(np.int64)] = 1
+                bitmaps.append(np.tile(np.packbits(bits).view(np.int64), (n, 1)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(nodes, pa.string()),
@@ -375,11 +381,12 @@ def _prefixes(texts: DataFrame, weights, near: Near) -> DataFrame:
                     pa.array(rests, pa.float64()),
                     pa.array(np.concatenate([*hashes, np.zeros(0, np.int64)]), pa.int64()),
                     pa.array(np.concatenate([*parts, np.zeros(0)]), pa.float64()),
+                    *[pa.array(x, pa.int64()) for x in np.concatenate([*bitmaps, np.zeros((0, BITMAP), np.int64)]).T],
                 ],
-                names=["node", "label", "weight", "rest", "shingle", "part"],
+                names=["node", "label", "weight", "rest", "shingle", "part", *BITS],
             )
 
-    schema = "node string, label string, weight double, rest double, shingle long, part double"
+    schema = "node string, label string, weight double, rest double, shingle long, part double, " + ", ".join(f"{b} long" for b in BITS)
     return in_batches(texts.select("node", "label", "text"), run, schema)
 
 
@@ -449,12 +456,18 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
         open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
         rest = labelled.join(open_keys, "key", "left_semi").select("node", "label").distinct()
         prefixes = cut(_prefixes(texts.join(_bounded(cut(rest)), "node"), weights, near))
-        one, two = (prefixes.select("shingle", *[F.col(c).alias(c + tag) for c in ("node", "label", "weight", "rest", "part")]) for tag in ("", "_a"))
+        one, two = (prefixes.select("shingle", *[F.col(c).alias(c + tag) for c in ("node", "label", "weight", "rest", "part", *BITS)]) for tag in ("", "_a"))
         # what two texts share is in their prefixes or beyond one's
         bound = F.sum(F.least("part", "part_a")) + F.max(F.greatest("rest", "rest_a"))
-        needed = near.similarity / (1 + near.similarity) * F.max(F.col("weight") + F.col("weight_a")) * (1 - 1e-6)
-        last = one.join(two, "shingle").where((F.col("node") > F.col("node_a")) & (F.col("label") != F.col("label_a")) & close)
-        last = last.groupBy(F.col("node_a").alias("a"), F.col("node").alias("b")).agg((bound >= needed).alias("ok")).where("ok").drop("ok")
+        needed = near.similarity / (1 + near.similarity) * (F.col("weight") + F.col("weight_a")) * (1 - 1e-6)
+
+        def apart(x: str, y: str) -> Column:
+            """Shingles, of weight 1 at least, that only one of both texts has."""
+            return sum((F.bit_count(F.col(b + x).bitwiseAND(F.bitwise_not(F.col(b + y)))) for b in BITS[1:]), F.bit_count(F.col("b0" + x).bitwiseAND(F.bitwise_not(F.col("b0" + y)))))
+
+        possible = F.least(F.col("weight") - apart("", "_a"), F.col("weight_a") - apart("_a", "")) >= needed
+        last = one.join(two, "shingle").where((F.col("node") > F.col("node_a")) & (F.col("label") != F.col("label_a")) & close & possible)
+        last = last.groupBy(F.col("node_a").alias("a"), F.col("node").alias("b")).agg((bound >= F.max(needed)).alias("ok")).where("ok").drop("ok")
         last = last.join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti")
         found = cut(_verify(cut(last), texts, weights, near))
         if not found.isEmpty():
