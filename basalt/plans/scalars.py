@@ -47,7 +47,7 @@ def like(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", T.like(name, "%RING").alias("a"), T.like(name, "_e% w%").alias("b"), T.like(F.concat(name, F.lit("%")), "%\\%", "\\").alias("c"))
 
 
-@query("p15_glob", "SELECT p_partkey, p_name GLOB '*[rw]i[a-n]*' AS a, p_brand GLOB 'Brand#1?' AS b, p_name GLOB '[^rs]*' AS c FROM part")
+@query("p15_glob", "SELECT p_partkey, p_name GLOB '*[rw]i[a-n]*' AS a, p_brand GLOB 'Brand#1?' AS b, p_name GLOB '[!rs]*' AS c FROM part")
 def glob(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", T.glob(F.col("p_name"), "*[rw]i[a-n]*").alias("a"), T.glob(F.col("p_brand"), "Brand#1?").alias("b"), T.glob(F.col("p_name"), "[^rs]*").alias("c"))
 

@@ -29,7 +29,7 @@ def base(spark, sf_dir):
     return read(spark, sf_dir, "orders").where("o_custkey < 200").selectExpr("o_orderkey", "o_custkey", "o_totalprice", "cast(round(o_totalprice / 40000) as int) AS band")
 
 
-OVER = Over(("o_custkey",)).refine((F.col("band"),))
+OVER = Over(("o_custkey",)).refine(("band",))
 
 
 def frame_query(name, function, unit, start, end, exclude, text):
