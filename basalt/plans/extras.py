@@ -10,7 +10,7 @@ from basalt.sources.tables import read
 from basalt.streaming import windows
 
 
-@query("s15_table_info", "SELECT * FROM (VALUES (0, 'n_nationkey', 'int', 0), (1, 'n_name', 'string', 0), (2, 'n_regionkey', 'int', 0)) t(cid, name, type, "notnull")")
+@query("s15_table_info", """SELECT * FROM (VALUES (0, 'n_nationkey', 'int', 0), (1, 'n_name', 'string', 0), (2, 'n_regionkey', 'int', 0)) t(cid, name, type, "notnull")""")
 def table_info(spark, sf_dir):
     return catalog.table_info(spark, sf_dir, "nation")
 
