@@ -139,25 +139,25 @@ def judge(scored: DataFrame, limits: DataFrame, rules: Rules = Rules()) -> DataF
     return joined.withColumn("base_failed", base_failed(rules)).withColumn("kept", ~F.col("base_failed") & within)
 
 
-def learn(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The fences that all of ``docs`` imply; texts that fail the base rule are not counted."""
-    scored = features(docs.select("text", "lang", "source")).drop("text")
+def learn(scored: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The fences that all rows with features imply; texts that fail the base rule are not counted.
+
+    ``scored`` must be checkpointed: a filter on features that moves below them would copy their expressions.
+    """
     return cut(fences(cut(sketches(scored.where(~base_failed(rules)), rules)), rules))
 
 
 def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """doc_id, language, source, features and the verdict of every row of ``docs``."""
     scored = cut(features(docs.select("doc_id", "text", "lang", "source")).drop("text"))
-    limits = cut(fences(cut(sketches(scored.where(~base_failed(rules)), rules)), rules))
-    return judge(scored, limits, rules)
+    return judge(scored, learn(scored, rules), rules)
 
 
 def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns as they are."""
-    limits = learn(docs, rules)
-    names = docs.columns
-    plain = docs.select(F.struct(*names).alias("__row"), "text", "lang", "source")
-    return judge(features(plain), limits, rules).where("kept").select("__row.*")
+    plain = docs.select(F.struct(*docs.columns).alias("__row"), "text", "lang", "source")
+    scored = cut(features(plain).drop("text"))
+    return judge(scored, learn(scored, rules), rules).where("kept").select("__row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
