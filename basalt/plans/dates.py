@@ -7,7 +7,7 @@ from basalt.registry import query, shared
 from basalt.sources.tables import read
 
 
-@query("dt_formats", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%H:%M:%S') AS t, strftime(ts, '%Y-%m-%d %H:%M:%S') AS dt, CAST(floor(epoch(ts)) AS BIGINT) AS u, floor(epoch_ms(ts) / 1000 + 210866760000) AS j FROM events")
+@query("dt_formats", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%H:%M:%S') AS t, strftime(ts, '%Y-%m-%d %H:%M:%S') AS dt, CAST(floor(epoch(ts)) AS BIGINT) AS u, floor(epoch_us(ts) / 1000000) + 210866760000 AS j FROM events")
 def formats(spark, sf_dir):
     ts = F.col("ts")
     return read(spark, sf_dir, "events").select("event_id", D.date(ts).alias("d"), D.time(ts).alias("t"), D.datetime(ts).alias("dt"), D.unixepoch(ts).alias("u"), F.floor(F.round(D.julianday(ts) * 86400, 3)).cast("double").alias("j"))
