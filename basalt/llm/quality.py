@@ -1,7 +1,13 @@
 """Quality rules with adaptive cutoffs.
 
 Each rule compares a text's metric with an upper fence of the metric's own
-distribution in the text's language and source.  The distributions are KLL
+distribution in the text's language and source: its ``high`` quantile and
+``spread`` times the way there from the first quartile.  Most texts have no
+symbols or repeats at all, so that way is often nothing; a least way for each
+metric then leaves room above the quantile, and alone sets the fence where the
+quantile is 0.
+A group may hold nearly ``1 - high`` of junk before its fence moves into the
+junk.  The distributions are KLL
 sketches: one per language and source, merged upwards for languages and for
 the whole corpus, so no group's rows ever meet in one task and a group of any
 size costs one sketch per task.
@@ -9,7 +15,8 @@ size costs one sketch per task.
 Edge cases: null and empty texts have no words and fail the base rule; null
 languages and sources are groups like others; a group with fewer than
 ``min_group`` scored texts uses its language's fences, and a small language
-the corpus's; without any scored text the fixed floors decide.
+the corpus's, however small; without any scored text nothing passes the base
+rule, and there are no fences.
 """
 
 from __future__ import annotations
@@ -22,18 +29,19 @@ from pyspark.sql import functions as F
 from basalt.llm.common import BROADCAST_ROWS, SPACE, cut, null_safe, table, whole_text
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: metric: (numerator, denominator, floor under which no text is rejected)
+#: metric: (numerator, denominator, least way from the first quartile to the high quantile)
 METRICS = {
-    "symbol_share": ("n_symbols", "word_chars", 0.15),
-    "dup_line_share": ("n_dup_lines", "n_lines", 0.45),
-    "repeat_share": ("n_repeat_words", "n_words", 0.40),
-    "word_length": ("word_chars", "n_words", 14.0),
+    "symbol_share": ("n_symbols", "word_chars", 0.01),
+    "dup_line_share": ("n_dup_lines", "n_lines", 0.06),
+    "repeat_share": ("n_repeat_words", "n_words", 0.06),
+    "word_length": ("word_chars", "n_words", 0.1),
 }
 
 
 @dataclass(frozen=True)
 class Rules:
-    spread: float = 6.0  #: fences lie this many interquartile ranges above the third quartile
+    high: float = 0.8  #: the quantile that fences start from
+    spread: float = 6.0  #: fences lie this many ways from the first quartile to the high quantile above it
     min_group: int = 200  #: scored texts that a group needs for fences of its own
     sketch_k: int = 2048  #: KLL size; rank error about 0.1 %
     min_words: int = 50
@@ -110,15 +118,15 @@ def fences(groups: DataFrame, rules: Rules) -> DataFrame:
         )
 
     def fence(metric: str) -> Column:
-        q = F.kll_sketch_get_quantile_double(metric, F.array(F.lit(0.25), F.lit(0.75)))
-        return F.greatest(q[1] + F.lit(rules.spread) * (q[1] - q[0]), F.lit(METRICS[metric][2]))
+        q = F.kll_sketch_get_quantile_double(metric, F.array(F.lit(0.25), F.lit(rules.high)))
+        return q[1] + F.lit(rules.spread) * F.greatest(q[1] - q[0], F.lit(METRICS[metric][2]))
 
-    def cutoffs(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
-        enough = F.col("n") >= rules.min_group
+    def cutoffs(df: DataFrame, keys: list[str], tag: str, least: int = rules.min_group) -> DataFrame:
+        enough = F.col("n") >= least
         return df.select(*keys, *[F.when(enough, fence(m)).alias(f"{tag}_{m}") for m in METRICS])
 
     by_lang = merged(groups, ["lang"])
-    overall = cutoffs(merged(by_lang, []), [], "all").withColumn("one", F.lit(1))
+    overall = cutoffs(merged(by_lang, []), [], "all", 1).withColumn("one", F.lit(1))
     out = null_safe(cutoffs(groups, ["lang", "source"], "own"), cutoffs(by_lang, ["lang"], "lang"), ["lang"])
     out = out.withColumn("one", F.lit(1)).join(overall, "one", "left")
     return out.select(
@@ -134,8 +142,8 @@ def judge(scored: DataFrame, limits: DataFrame, rules: Rules = Rules()) -> DataF
         limits = F.broadcast(limits)
     joined = null_safe(scored, limits, ["lang", "source"])
     within = F.lit(True)
-    for m, (_, _, floor) in METRICS.items():
-        within = within & (_metric(m) <= F.coalesce(F.col(f"max_{m}"), F.lit(floor)))
+    for m in METRICS:
+        within = within & F.coalesce(_metric(m) <= F.col(f"max_{m}"), F.lit(True))
     return joined.withColumn("base_failed", base_failed(rules)).withColumn("kept", ~F.col("base_failed") & within)
 
 

@@ -61,6 +61,29 @@ def test_quality_rejects_outliers_and_keeps_columns(spark):
     assert quality.keep(nulls).count() == 250
 
 
+def test_quality_fences_follow_the_sketches(spark):
+    """Junk below the former fixed cutoffs goes, and a group's usual share of symbols doesn't count against it."""
+
+    def words(i, symbols):
+        return " ".join(f"w{(i * 7 + j * j) % 997}" + "#" * (j < symbols) for j in range(80))
+
+    rows = [(i, words(i, 0), "en", "web") for i in range(250)]
+    rows += [(1000 + i, words(i, 25), "en", "web") for i in range(20)]  # a share of about 0.08
+    rows += [(2000 + i, words(i, 20 + i % 10), "en", "code") for i in range(250)]
+    kept = quality.keep(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(250), *range(2000, 2250)]
+
+
+def test_quality_labelled_junk_goes_and_clean_texts_stay(spark):
+    folder = "/root/testdata/sf0.01"
+    got = quality.quality(spark.read.parquet(f"{folder}/documents.parquet")).where("not base_failed")
+    rows = got.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("quality", "kept").collect()
+    junk, clean = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
+    assert junk and clean
+    assert sum(junk) <= 0.05 * len(junk)
+    assert sum(clean) >= 0.99 * len(clean)
+
+
 def brute_base(text):
     spans = []
     assign = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
