@@ -7,11 +7,11 @@ from basalt.operators.frames import UNBOUNDED, Over
 from basalt.registry import query, shared
 from basalt.sources.tables import read
 
-BASE = "(SELECT o_orderkey, o_custkey, o_totalprice, CAST(o_totalprice / 40000 AS INT) AS band FROM {orders} WHERE o_custkey < 200)"
+BASE = "(SELECT o_orderkey, o_custkey, o_totalprice, CAST(o_totalprice / 40000 AS INT) AS band FROM {orders})"
 
 shared("w1_ranking", """SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER v AS rk, dense_rank() OVER v AS dr,
 round(percent_rank() OVER v, 8) AS pr, round(cume_dist() OVER v, 8) AS cd, ntile(4) OVER w AS nt
-FROM {orders} WHERE o_custkey < 100 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey), v AS (PARTITION BY o_custkey ORDER BY o_orderpriority)""")
+FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey), v AS (PARTITION BY o_custkey ORDER BY o_orderpriority)""")
 shared("w2_lag_lead", "SELECT o_orderkey, lag(o_totalprice) OVER w AS a, lag(o_totalprice, 2, 0.0E0) OVER w AS b, lead(o_orderkey, 1) OVER w AS c FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 shared("w3_first_last_nth", "SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l, nth_value(o_orderkey, 3) OVER w AS t FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 shared("w4_aggregates_over", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n, max(o_totalprice) OVER (PARTITION BY o_custkey) AS m, round(avg(o_totalprice) OVER (PARTITION BY o_orderpriority), 4) AS a FROM {orders}")
@@ -26,7 +26,7 @@ shared("w16_moving_sum", "SELECT event_id, round(sum(value) OVER (PARTITION BY u
 
 
 def base(spark, sf_dir):
-    return read(spark, sf_dir, "orders").where("o_custkey < 200").selectExpr("o_orderkey", "o_custkey", "o_totalprice", "cast(round(o_totalprice / 40000) as int) AS band")
+    return read(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "o_totalprice", "cast(round(o_totalprice / 40000) as int) AS band")
 
 
 OVER = Over(("o_custkey",)).refine(("band",))
