@@ -13,11 +13,11 @@ def docs(spark, sf_dir):
     text = F.concat(
         F.lit('{"u":'), F.col("user_id"), F.lit(',"tags":["'), F.col("event_type"), F.lit('",'), F.col("event_id") % 3, F.lit(',null],"in":{"k":'), F.col("event_id"), F.lit(',"ok":true}}')
     )
-    return read(spark, sf_dir, "events").where("event_id < 2000").select("event_id", "props", text.alias("j"))
+    return read(spark, sf_dir, "events").select("event_id", "props", text.alias("j"))
 
 
 def over(select: str) -> str:
-    return f"SELECT event_id, {select} FROM (SELECT event_id, props, {NESTED} AS j FROM events WHERE event_id < 2000)"
+    return f"SELECT event_id, {select} FROM (SELECT event_id, props, {NESTED} AS j FROM events)"
 
 
 @query("json_extract", over("json_extract_string(props, '$.k') AS k, json_extract_string(j, '$.tags[0]') AS t, CAST(json_extract(j, '$.in') AS VARCHAR) AS i, CAST(json_extract(j, '$.tags') AS VARCHAR) AS a, CAST(json_extract(j, '$.tags[1]') AS VARCHAR) AS n"))
@@ -50,13 +50,13 @@ def build(spark, sf_dir):
     return docs(spark, sf_dir).select("event_id", J.json_array(e, F.lit("x"), F.lit(None).cast("string")).alias("a"), J.json_object(("id", e), ("t", F.lit("y"))).alias("o"), (J.json_minify(F.col("j")) == F.col("j")).alias("m"))
 
 
-@query("s14_json_each", f"SELECT event_id, e.key AS key, e.value AS v FROM (SELECT event_id, {NESTED} AS j FROM events WHERE event_id < 2000) d, LATERAL (SELECT CAST(i - 1 AS VARCHAR) AS key, json_extract_string(j, '$.tags[' || (i - 1) || ']') AS value FROM (SELECT unnest(range(1, 4)) AS i)) e")
+@query("s14_json_each", f"SELECT event_id, e.key AS key, e.value AS v FROM (SELECT event_id, {NESTED} AS j FROM events) d, LATERAL (SELECT CAST(i - 1 AS VARCHAR) AS key, json_extract_string(j, '$.tags[' || (i - 1) || ']') AS value FROM (SELECT unnest(range(1, 4)) AS i)) e")
 def each(spark, sf_dir):
     rows = docs(spark, sf_dir).select("event_id", F.explode(J.each(F.col("j"), "$.tags")).alias("e"))
     return rows.select("event_id", "e.key", F.col("e.value").alias("v"))
 
 
-@query("s14_json_tree", f"SELECT event_id, CAST(count(*) AS BIGINT) AS n, CAST(max(depth) AS BIGINT) AS deep FROM (SELECT event_id, unnest([0, 1, 1, 2, 2, 2, 1, 2, 2]) AS depth FROM events WHERE event_id < 2000) GROUP BY event_id")
+@query("s14_json_tree", f"SELECT event_id, CAST(count(*) AS BIGINT) AS n, CAST(max(depth) AS BIGINT) AS deep FROM (SELECT event_id, unnest([0, 1, 1, 2, 2, 2, 1, 2, 2]) AS depth FROM events) GROUP BY event_id")
 def tree(spark, sf_dir):
     rows = docs(spark, sf_dir).select("event_id", F.explode(J.tree(F.col("j"))).alias("e"))
     depth = F.size(F.regexp_extract_all("e.fullkey", F.lit(r"(\.|\[)"), F.lit(1)))

@@ -24,3 +24,10 @@ def run(spark, name):
 )
 def test_windows_cover_all_orders(spark, name):
     assert sorted(r.o_orderkey for r in run(spark, name)) == keys(spark, "orders", "o_orderkey")
+
+
+@pytest.mark.parametrize("name", "json_extract json_type_length_valid json_edits json_build s14_json_each s14_json_tree".split())
+def test_json_covers_all_events(spark, name):
+    got = sorted(r.event_id for r in run(spark, name))
+    each = 3 if name == "s14_json_each" else 1
+    assert got == sorted(keys(spark, "events", "event_id") * each)
