@@ -31,3 +31,38 @@ def test_json_covers_all_events(spark, name):
     got = sorted(r.event_id for r in run(spark, name))
     each = 3 if name == "s14_json_each" else 1
     assert got == sorted(keys(spark, "events", "event_id") * each)
+
+
+@pytest.mark.parametrize("name", ["p10_is_distinct_from", "p18_case_iif"])
+def test_predicates_cover_all_orders(spark, name):
+    assert sorted(r.o_orderkey for r in run(spark, name)) == keys(spark, "orders", "o_orderkey")
+
+
+def test_full_joins_keep_all_rows_of_both_sides(spark):
+    customers, theirs = set(keys(spark, "customer", "c_custkey")), keys(spark, "orders", "o_custkey")
+    rows = run(spark, "j5_full")
+    assert sorted(r.a for r in rows if r.a is not None) == sorted(customers)
+    assert {r.b for r in rows} - {None} == set(theirs) and sum(r.n or 0 for r in rows) == len(theirs)
+    both = {r.a for r in rows if r.a is not None and r.b is not None}
+    assert both == {k for k in customers & set(theirs) if k % 3 and k % 2 == 0}
+    rows = {r.k: r for r in run(spark, "j6_using_coalesced")}
+    moved = {-k if k % 7 == 0 else k for k in theirs}
+    assert set(rows) == customers | moved
+    assert all((r.x is not None) == (k in customers) and (r.y is not None) == (k in moved) for k, r in rows.items())
+
+
+def test_range_join_takes_all_ranges(spark):
+    lows = keys(spark, "customer", "c_acctbal")
+    points = [x / 50 for x in keys(spark, "orders", "o_totalprice")]
+    want = {}
+    for lo in lows:
+        n = sum(lo <= x <= lo + 20 for x in points)
+        if n:
+            want[lo] = want.get(lo, 0) + n
+    assert {r.lo: r.n for r in run(spark, "j17_range_join")} == want
+
+
+def test_chained_compound_takes_all_suppliers(spark):
+    suppliers = {k for k in keys(spark, "supplier", "s_nationkey") if k % 3}
+    nations = {r.n_nationkey for r in read(spark, FOLDER, "nation").where("n_regionkey <> 1").collect()}
+    assert {r.k for r in run(spark, "u5_chained_compound")} == (set(keys(spark, "customer", "c_nationkey")) - suppliers) & nations
