@@ -9,10 +9,10 @@ from basalt.sources.tables import read
 
 shared("f_string_basics", "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, length(p_name) AS n, replace(p_name, ' ', '_') AS r, trim(p_name) AS t, instr(p_name, 'i') AS i, octet_length(encode(p_name, 'UTF-8')) AS o, substring(p_name, 2, 4) AS s, p_name || '/' || p_type AS c FROM {part}",
        "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, CAST(length(p_name) AS INT) AS n, replace(p_name, ' ', '_') AS r, trim(p_name) AS t, CAST(instr(p_name, 'i') AS INT) AS i, CAST(strlen(p_name) AS INT) AS o, substring(p_name, 2, 4) AS s, p_name || '/' || p_type AS c FROM part")
-shared("f_control", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'x') AS a, CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS b, nullif(o_custkey, 5) AS c FROM {orders} WHERE o_orderkey < 200")
+shared("f_control", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'x') AS a, CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS b, nullif(o_custkey, 5) AS c FROM {orders}")
 shared("f_math_basics", "SELECT p_partkey, abs(p_size - 25) AS a, round(sqrt(p_size), 9) AS q, round(power(p_size, 2), 4) AS p, round(exp(p_size / 50.0E0), 9) AS e, round(ln(p_size), 9) AS l, round(log10(p_size), 9) AS l10, round(log2(p_size), 9) AS l2, round(sin(p_size), 9) AS s, round(cos(p_size), 9) AS c, round(tan(p_size), 7) AS t, round(atan2(p_size, 3), 9) AS at, round(degrees(p_size), 7) AS d, round(radians(p_size), 9) AS r, round(pi(), 9) AS pi FROM {part} WHERE p_size > 0")
 shared("f_hyperbolic", "SELECT p_partkey, round(sinh(p_size / 50.0E0), 8) AS a, round(cosh(p_size / 50.0E0), 8) AS b, round(tanh(p_size / 50.0E0), 8) AS c, round(asinh(p_size), 8) AS d, round(acosh(p_size), 8) AS e, round(atanh(p_size / 51.0E0), 8) AS f, round(asin(p_size / 51.0E0), 8) AS g, round(acos(p_size / 51.0E0), 8) AS h, round(atan(p_size), 8) AS i FROM {part} WHERE p_size BETWEEN 1 AND 50")
-shared("p8_concat_null", "SELECT o_orderkey, nullif(o_orderstatus, 'P') || '-' || o_orderpriority AS c FROM {orders} WHERE o_orderkey < 300")
+shared("p8_concat_null", "SELECT o_orderkey, nullif(o_orderstatus, 'P') || '-' || o_orderpriority AS c FROM {orders}")
 shared("p6_unary", "SELECT p_partkey, -p_size AS m, ~p_size AS b, NOT (p_size > 10) AS n FROM {part}")
 
 

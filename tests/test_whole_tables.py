@@ -66,3 +66,20 @@ def test_chained_compound_takes_all_suppliers(spark):
     suppliers = {k for k in keys(spark, "supplier", "s_nationkey") if k % 3}
     nations = {r.n_nationkey for r in read(spark, FOLDER, "nation").where("n_regionkey <> 1").collect()}
     assert {r.k for r in run(spark, "u5_chained_compound")} == (set(keys(spark, "customer", "c_nationkey")) - suppliers) & nations
+
+
+@pytest.mark.parametrize(
+    ("name", "table", "key"),
+    [("f_control", "orders", "o_orderkey"), ("p8_concat_null", "orders", "o_orderkey"), ("p22_scalar_subquery", "customer", "c_custkey")],
+)
+def test_expressions_cover_whole_tables(spark, name, table, key):
+    assert sorted(r[key] for r in run(spark, name)) == keys(spark, table, key)
+
+
+def test_correlated_series_covers_all_parts(spark, tmp_path):
+    want = sorted((r.p_partkey, v) for r in read(spark, FOLDER, "part").collect() for v in range(1, (r.p_size or 0) + 1, 5))
+    assert sorted(map(tuple, run(spark, "s17_correlated_table_function"))) == want
+    rows = [(1, 0), (2, None), (3, -4), (4, 6)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = QUERIES["s17_correlated_table_function"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(4, 1), (4, 6)]
