@@ -7,17 +7,19 @@ from basalt.registry import query
 from basalt.sources.tables import read
 
 COLUMNS = "c_custkey, c_nationkey, c_acctbal"
+#: every customer comes in again, those of odd keys under a new one
+CHANGED = "CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE -c_custkey END AS c_custkey, c_nationkey, c_acctbal + 1 AS c_acctbal"
 
 
 def old(spark, sf_dir):
-    return read(spark, sf_dir, "customer").where("c_custkey <= 100").select("c_custkey", "c_nationkey", "c_acctbal")
+    return read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
 
 
 def new(spark, sf_dir):
-    return read(spark, sf_dir, "customer").where("c_custkey between 90 and 120").selectExpr("c_custkey", "c_nationkey", "c_acctbal + 1 as c_acctbal")
+    return read(spark, sf_dir, "customer").selectExpr(*CHANGED.split(", "))
 
 
-OLD = f"o AS (SELECT {COLUMNS} FROM customer WHERE c_custkey <= 100), n AS (SELECT c_custkey, c_nationkey, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey BETWEEN 90 AND 120)"
+OLD = f"o AS (SELECT {COLUMNS} FROM customer), n AS (SELECT {CHANGED} FROM customer)"
 
 
 @query("d1_insert_or_ignore", f"WITH {OLD} SELECT * FROM o UNION ALL SELECT * FROM n WHERE c_custkey NOT IN (SELECT c_custkey FROM o)")
@@ -63,7 +65,7 @@ def upsert(spark, sf_dir):
     return C.upsert(old(spark, sf_dir), new(spark, sf_dir), ["c_custkey"], values, F.col("excluded_c_acctbal") > 3000)
 
 
-@query("d5_returning", f"""WITH {OLD}, v AS (SELECT * FROM o WHERE c_custkey < 90 UNION ALL SELECT * FROM n)
+@query("d5_returning", f"""WITH {OLD}, v AS (SELECT * FROM o WHERE c_custkey NOT IN (SELECT c_custkey FROM n) UNION ALL SELECT * FROM n)
 SELECT coalesce(o.c_custkey, v.c_custkey) AS c_custkey, CASE WHEN o.c_custkey IS NULL THEN 'insert' WHEN v.c_custkey IS NULL THEN 'delete' ELSE 'update' END AS change
 FROM o FULL JOIN v ON o.c_custkey = v.c_custkey WHERE o.c_custkey IS NULL OR v.c_custkey IS NULL OR o.c_acctbal <> v.c_acctbal""")
 def returning(spark, sf_dir):

@@ -83,3 +83,12 @@ def test_correlated_series_covers_all_parts(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     got = QUERIES["s17_correlated_table_function"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(4, 1), (4, 6)]
+
+
+def test_changes_apply_to_all_customers(spark):
+    old = set(keys(spark, "customer", "c_custkey"))
+    added = {-k for k in old if k % 2}
+    for name in ("d1_insert_or_ignore", "d1_replace", "d4_upsert"):
+        assert sorted(r.c_custkey for r in run(spark, name)) == sorted(old | added)
+    want = [*((k, "insert") for k in added), *((k, "update") for k in old if k % 2 == 0)]
+    assert sorted(map(tuple, run(spark, "d5_returning"))) == sorted(want)
