@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_ROWS = 4096
+#: The cells that each row is indexed in, so that a row near a border is found from either side.
+COPIES = 2
 
 
 def literal(vector: Sequence[float]) -> Column:
@@ -123,13 +125,18 @@ def cells(rows: DataFrame, column: str, key: str, n: int, rounds: int = 5, sampl
 
 
 def with_cell(rows: DataFrame, column: str, centres: np.ndarray) -> DataFrame:
-    """Adds ``cell``, the nearest centre's number; every row is indexed."""
+    """A row for each of the COPIES nearest centres, with its number as ``cell``; every row is indexed."""
     parts = [F.struct(l2(F.col(column), literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]
-    return rows.withColumn("cell", F.array_min(F.array(*parts))["i"])
+    near = F.slice(F.sort_array(F.array(*parts)), 1, COPIES)
+    return rows.withColumn("cell", F.explode(F.transform(near, lambda p: p["i"])))
 
 
 def nearest_in_cells(indexed: DataFrame, column: str, query: Sequence[float], k: int, centres: np.ndarray, probes: int, tie: str) -> DataFrame:
-    """Approximate top-k: exact within the ``probes`` cells nearest to the query (a filter that prunes a table partitioned by cell)."""
+    """Approximate top-k: exact within the ``probes`` cells nearest to the query (a filter that prunes a table partitioned by cell).
+
+    ``tie`` is the rows' key, by which copies of a row are known.
+    """
     q = np.asarray(query, np.float64)
     chosen = np.argsort(((centres - q) ** 2).sum(1))[:probes].tolist()
-    return nearest(indexed, column, query, k, "l2", F.col("cell").isin(chosen), tie)
+    found = nearest(indexed, column, query, COPIES * k, "l2", F.col("cell").isin(chosen), tie)
+    return found.dropDuplicates([tie]).orderBy("distance", tie).limit(k)

@@ -131,6 +131,24 @@ def test_recall_of_cells(spark):
     assert hits >= 45
 
 
+def test_recall_of_cells_on_embeddings(spark):
+    """The registered query's cells and probes, for every id divisible by 100."""
+    import numpy as np
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    table = rows.where("embedding is not null").orderBy("vec_id").collect()
+    ids, x = np.array([r[0] for r in table]), np.array([r[1] for r in table], np.float64)
+    centres = vectors.cells(rows, "embedding", "vec_id", 16)
+    indexed = vectors.with_cell(rows, "embedding", centres).cache()
+    hits, queries = 0, [i for i in range(len(ids)) if ids[i] % 100 == 0]
+    for i in queries:
+        near = [t.vec_id for t in vectors.nearest_in_cells(indexed, "embedding", x[i].tolist(), 10, centres, 8, "vec_id").collect()]
+        assert len(near) == len(set(near)) == 10
+        hits += len(set(near) & set(ids[np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[:10]].tolist()))
+    indexed.unpersist()
+    assert hits >= 0.9 * 10 * len(queries)
+
+
 def test_stream_windows_equal_batch_windows(spark, tmp_path):
     at = datetime.datetime(2024, 1, 1)
     rows = [(i % 3, at + datetime.timedelta(minutes=7 * i), float(i)) for i in range(40)]
