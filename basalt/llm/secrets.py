@@ -1,9 +1,10 @@
 """Secret scans over an incremental ledger of content-addressed blobs.
 
 A blob is a distinct text, addressed by its SHA-256; a path is a row.  The
-ledger holds every (blob, rule version) pair that has been scanned and what was
-found in it.  A run hashes all rows, takes the blobs that the ledger lacks for
-some rule version, scans one row of each, appends to the ledger and joins the
+ledger holds every (blob, rule version) pair that has been scanned, as lists of
+rule versions by blob, and what was found in it.  A run hashes all rows, takes the
+blobs that the ledger lacks for some rule version, scans one row of each by those
+rules alone, appends to the ledger and joins the
 findings back to all rows.  Only the chosen rows' texts are shuffled, by blob
 and row id, so copies of one text cost their hashes alone.
 
@@ -51,6 +52,10 @@ SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 LEDGER = f"blob string, kind string, version int, spans {SPAN}"
 
 
+def pair(rule: Rule) -> str:
+    return f"{rule.kind}:{rule.version}"
+
+
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """The rule's spans in a text, by start."""
     gaps = F.transform(F.split(text, rule.pattern), F.length)
@@ -73,8 +78,13 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """A ledger row for each blob and rule that found something."""
-    ranked = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans_of(F.col("text"), r, RULES.index(r) if r in RULES else 100).alias("spans")) for r in rules]
+    """A ledger row for each blob and rule that found something; of a blob with a list ``missing``, only its rules run."""
+
+    def spans(rule: Rule) -> Column:
+        out = spans_of(F.col("text"), rule, RULES.index(rule) if rule in RULES else 100)
+        return F.when(F.array_contains("missing", pair(rule)), out).otherwise(F.array().cast(SPAN)) if "missing" in blobs.columns else out
+
+    ranked = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(r).alias("spans")) for r in rules]
     # no filter on the text: it would move below the join that picks the unseen blobs
     found = blobs.select("blob", F.explode(F.array(*ranked)).alias("x"))
     return found.select("blob", "x.kind", "x.version", "x.spans").where(F.size("spans") > 0)
@@ -101,17 +111,18 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     spark = docs.sparkSession
     paths = docs.select("doc_id", whole_text().alias("text")).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
     seen = read_ledger(spark, ledger, "scanned", "blob string, rules string")
-    present = "|".join(f"{r.kind}:{r.version}" for r in rules)
     # the smallest row id stands for a blob; map-side aggregation leaves one row per task and blob
     fresh = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
     if ledger is not None:
-        known = seen.where(F.col("rules") == present).select("blob").distinct()
-        fresh = fresh.join(known, "blob", "left_anti")
+        known = seen.groupBy("blob").agg(F.flatten(F.collect_set(F.split("rules", r"\|"))).alias("known"))
+        present = F.array(*[F.lit(pair(r)) for r in rules])
+        missing = F.when(F.col("known").isNull(), present).otherwise(F.array_except(present, F.col("known")))
+        fresh = fresh.join(known, "blob", "left").withColumn("missing", missing).drop("known").where(F.size("missing") > 0)
     fresh = fresh.withColumnRenamed("doc_id", "first_id")
     chosen = paths.join(
         fresh.withColumnRenamed("blob", "fresh_blob"),
         (F.col("blob") == F.col("fresh_blob")) & F.col("doc_id").eqNullSafe(F.col("first_id")),
-        "left_semi",
+        "left_semi" if ledger is None else "inner",
     )
     # equal rows give equal findings, of which one stays
     found = cut(scan(chosen, rules).dropDuplicates(["blob", "kind"]))
@@ -120,7 +131,7 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule,
         current = reduce(lambda a, b: a | b, [(F.col("kind") == r.kind) & (F.col("version") == r.version) for r in rules])
         fresh = cut(fresh)
         found.write.mode("append").parquet(f"{ledger.rstrip('/')}/found")
-        fresh.select("blob", F.lit(present).alias("rules")).write.mode("append").parquet(f"{ledger.rstrip('/')}/scanned")
+        fresh.select("blob", F.array_join("missing", "|").alias("rules")).write.mode("append").parquet(f"{ledger.rstrip('/')}/scanned")
         found = old.where(current).unionByName(found).dropDuplicates(["blob", "kind"])
     per_blob = found.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
     return paths.select("doc_id", "blob").join(per_blob, "blob", "left").withColumn(

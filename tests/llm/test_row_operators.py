@@ -1,5 +1,6 @@
 """Quality rules, secret scans, piece codec and toxicity against plain Python."""
 
+import dataclasses
 import hashlib
 import re
 import zlib
@@ -117,6 +118,28 @@ def test_secret_ledger_scans_only_what_is_new(spark, tmp_path):
     assert hashlib.sha256(b"").hexdigest() in seen
 
 
+def test_secret_ledger_runs_only_changed_rules(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+    docs = docs_of(spark, TEXTS)
+    want = {r.doc_id: r.spans for r in secrets.scan_secrets(docs, folder).collect()}
+    before = spark.read.parquet(f"{folder}/found").collect()
+    at = [r.kind for r in secrets.RULES].index("hex")
+    # versions of all rules but one are recorded: a pattern that finds nothing shows whether they run again
+    changed = tuple(
+        dataclasses.replace(r, version=2) if i == at else dataclasses.replace(r, pattern="no such text") for i, r in enumerate(secrets.RULES)
+    )
+    got = secrets.scan_secrets(docs, folder, changed).collect()
+    shape = lambda spans: sorted((s.kind, s.start, s.end) for s in spans)
+    assert all(shape(r.spans) == shape(want[r.doc_id]) for r in got)
+    after = spark.read.parquet(f"{folder}/found").collect()
+    assert {(r.kind, r.version) for r in after} - {(r.kind, r.version) for r in before} == {("hex", 2)}
+    assert len(after) - len(before) == sum(r.kind == "hex" for r in before) > 0
+    lists = [r.rules for r in spark.read.parquet(f"{folder}/scanned").collect()]
+    assert lists.count("hex:2") == len(lists) / 2 == len({t or "" for t in TEXTS})
+    secrets.scan_secrets(docs, folder, changed).collect()
+    assert spark.read.parquet(f"{folder}/scanned").count() == len(lists)
+
+
 def test_pieces_equal_the_library(spark):
     import public_tokenizers
     import sentencepiece
