@@ -15,11 +15,11 @@ Candidate groups (texts linked by buckets) of at most ``SMALL`` texts and
 1. every member is compared with its bucket's first text, then those not yet in
    one class with it are compared with a few more, which settles dense groups;
 2. buckets in which several classes are left over are finished exactly: their
-   texts' rarest shingles, of more than a fifth of the weight, are joined, which
-   finds every pair of similarity 0.8, while passages and lines that many texts
-   share are among the commonest shingles and join nothing.  A bitmap of each
-   text rules out pairs with too many shingles apart, then the weight that the
-   joined shingles have in common.
+   texts' rarest shingles, by exact frequencies among these texts, are joined,
+   which finds every pair of similarity 0.8.  Passages and lines that many texts
+   share are among the commonest shingles and join nothing, and a pair goes where
+   the weight after its first shared shingle is too little.  Before that, each
+   text is compared with one text of each shingle, so that few classes are left.
 
 Exact copies are one node (the text's digest) throughout.  All links found are
 verified by the weighted Jaccard similarity of whole texts.
@@ -34,7 +34,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basalt.llm.common import BROADCAST_ROWS, Shared, cut, in_batches, table, whole_text
@@ -42,8 +42,6 @@ from basalt.llm.components import components
 
 DRAWS = 1 << 16
 ID_ROWS = BROADCAST_ROWS // 2
-BITMAP = 4  #: words of 64 bits
-BITS = [f"b{k}" for k in range(BITMAP)]
 LEVELS = 16  #: of the IDF between 1 and 2
 SMALL = 100  #: candidate groups of up to so many texts, and
 SMALL_CHARS = 2 << 20  #: so many characters, are compared in one task
@@ -350,44 +348,36 @@ def _compare_small(texts: DataFrame, weights, near: Near) -> DataFrame:
     return in_batches(dealt, run, "a string, b string, similarity double")
 
 
-def _prefixes(texts: DataFrame, weights, near: Near) -> DataFrame:
-    """The rarest shingles of each text, of more than 1 - similarity of its weight."""
+def _postings(texts: DataFrame, weights, near: Near) -> DataFrame:
+    """node, weight, shingle, rest: the prefix of each text by the shingles' exact frequencies among ``texts``.
+
+    Shingles of one text alone go.  Of the others, rarest first, those stay from which on
+    (``rest``: their weight and that of all later ones) enough weight for the similarity is left.
+    """
 
     def run(batches):
         shingler = Shingler(near.words)
         for batch in batches:
-            nodes, labels, totals, rests, hashes, parts, bitmaps = [], [], [], [], [], [], []
-            for node, label, text in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "text")), strict=True):
-                ((h, tf),) = shingler([text])
-                w = weights.value(h, tf).astype(np.float64)
-                order = np.lexsort((h, weights.value.df[weights.value.bucket(h)]))
-                rest = w.sum() - np.cumsum(w[order])
-                n = int(np.searchsorted(-rest, -(near.similarity * w.sum()) * (1 - 1e-9), "right")) + 1
-                n = min(n, len(h))
-                nodes += [node] * n
-                labels += [label] * n
-                totals += [float(w.sum())] * n
-                rests += [float(max(rest[n - 1], 0))] * n
-                hashes.append(h[order[:n]].view(np.int64))
-                parts.append(w[order[:n]])
-                bits = np.zeros(64 * BITMAP, np.uint8)
-                bits[(h % np.uint64(len(bits))).astype(np.int64)] = 1
-                bitmaps.append(np.tile(np.packbits(bits).view(np.int64), (n, 1)))
+            nodes = batch.column("node").to_pylist()
+            sets = shingler(batch.column("text").to_pylist())
+            parts = [weights.value(h, tf).astype(np.float64) for h, tf in sets]
+            n = [len(h) for h, _ in sets]
+            totals = np.repeat([float(w.sum()) for w in parts], n)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(nodes, pa.string()),
-                    pa.array(labels, pa.string()),
+                    pa.array(np.repeat(np.array(nodes, object), n), pa.string()),
                     pa.array(totals, pa.float64()),
-                    pa.array(rests, pa.float64()),
-                    pa.array(np.concatenate([*hashes, np.zeros(0, np.int64)]), pa.int64()),
-                    pa.array(np.concatenate([*parts, np.zeros(0)]), pa.float64()),
-                    *[pa.array(x, pa.int64()) for x in np.concatenate([*bitmaps, np.zeros((0, BITMAP), np.int64)]).T],
+                    pa.array(np.concatenate([np.zeros(0, np.uint64), *[h for h, _ in sets]]).view(np.int64)),
+                    pa.array(np.concatenate([np.zeros(0), *parts])),
                 ],
-                names=["node", "label", "weight", "rest", "shingle", "part", *BITS],
+                names=["node", "weight", "shingle", "part"],
             )
 
-    schema = "node string, label string, weight double, rest double, shingle long, part double, " + ", ".join(f"{b} long" for b in BITS)
-    return in_batches(texts.select("node", "label", "text"), run, schema)
+    every = in_batches(texts.select("node", "text"), run, "node string, weight double, shingle long, part double")
+    counts = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    from_here = Window.partitionBy("node").orderBy(F.desc("k"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
+    shared = every.join(counts, "shingle").withColumn("rest", F.sum("part").over(from_here))
+    return cut(shared.where(F.col("rest") >= near.similarity * F.col("weight") * (1 - 1e-6)).select("node", "weight", "shingle", "rest"))
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -454,22 +444,33 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
         labelled, labels = _labelled(members, links)
         labelled = cut(labelled)
         open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        rest = labelled.join(open_keys, "key", "left_semi").select("node", "label").distinct()
-        prefixes = cut(_prefixes(texts.join(_bounded(cut(rest)), "node"), weights, near))
-        one, two = (prefixes.select("shingle", *[F.col(c).alias(c + tag) for c in ("node", "label", "weight", "rest", "part", *BITS)]) for tag in ("", "_a"))
-        # what two texts share is in their prefixes or beyond one's
-        bound = F.sum(F.least("part", "part_a")) + F.max(F.greatest("rest", "rest_a"))
+        rest = labelled.join(open_keys, "key", "left_semi").select("node").distinct()
+        postings = _postings(texts.join(_bounded(cut(rest)), "node", "left_semi"), weights, near)
+        done = cut(tried.unionByName(again))
         needed = near.similarity / (1 + near.similarity) * (F.col("weight") + F.col("weight_a")) * (1 - 1e-6)
-
-        def apart(x: str, y: str) -> Column:
-            """Shingles, of weight 1 at least, that only one of both texts has."""
-            return sum((F.bit_count(F.col(b + x).bitwiseAND(F.bitwise_not(F.col(b + y)))) for b in BITS[1:]), F.bit_count(F.col("b0" + x).bitwiseAND(F.bitwise_not(F.col("b0" + y)))))
-
-        possible = F.least(F.col("weight") - apart("", "_a"), F.col("weight_a") - apart("_a", "")) >= needed
-        last = one.join(two, "shingle").where((F.col("node") > F.col("node_a")) & (F.col("label") != F.col("label_a")) & close & possible)
-        last = last.groupBy(F.col("node_a").alias("a"), F.col("node").alias("b")).agg((bound >= F.max(needed)).alias("ok")).where("ok").drop("ok")
-        last = last.join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti")
-        found = cut(_verify(cut(last), texts, weights, near))
+        # what two texts share begins with a first shingle, whose rest bounds it
+        possible = (F.col("label") != F.col("label_a")) & close & (F.least("rest", "rest_a") >= needed)
+
+        def one_more(pairs: DataFrame) -> DataFrame:
+            """Those of the distinct pairs, in order, that have not been compared."""
+            ordered = pairs.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct()
+            return cut(ordered.join(done, ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
+
+        def tagged() -> tuple[DataFrame, DataFrame]:
+            own = postings.join(_bounded(cut(labelled.select("node", "label").distinct())), "node")
+            return own, own.select("shingle", *[F.col(c).alias(c + "_a") for c in ("node", "label", "weight", "rest")])
+
+        # each text with the most central one of each of its rare shingles: most of a dense group is one class then
+        own, other = tagged()
+        central = F.max(F.struct((F.col("rest_a") / F.col("weight_a")).alias("share"), "node_a", "label_a", "weight_a", "rest_a")).alias("x")
+        leaders = other.groupBy("shingle").agg(central).select("shingle", "x.node_a", "x.label_a", "x.weight_a", "x.rest_a")
+        some = one_more(own.join(leaders, "shingle").where(possible))
+        links = cut(links.unionByName(_verify(some, texts, weights, near)))
+        done = cut(done.unionByName(some))
+        labelled, labels = _labelled(members, links)
+        labelled = cut(labelled)
+        own, other = tagged()
+        found = cut(_verify(one_more(own.join(other, "shingle").where((F.col("node") > F.col("node_a")) & possible)), texts, weights, near))
         if not found.isEmpty():
             labels = components(links.unionByName(found))
     return rows.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
