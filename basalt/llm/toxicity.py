@@ -2,10 +2,14 @@
 
 Features of a text are densities: words of a seed lexicon, of lexica learned
 from the labels in two strengths, such words near a second-person pronoun,
-capitals, punctuation and obfuscated spellings.  The lexica, the trees and the
-calibration are fitted on disjoint folds of a bounded sample of labelled rows
-(``Fit.max_rows``), so that no fold judges what it has itself taught.  Scoring is
-one pass over all documents with the model, a few kB, as a broadcast.
+capitals, punctuation and obfuscated spellings.  The lexica are learned from two
+folds of a bounded sample of labelled rows (``Fit.max_rows``) and the trees from
+the other four.  The calibration is cross-fitted: each of those four folds is
+scored by trees of the other three, so that no row judges what it has itself
+taught.  Small samples are treated alike; with few toxic rows the lexica stay
+short and the calibration coarse.  Scoring is one pass over all documents with
+the model, a few kB, as a broadcast; it takes time in proportion to a text's
+length.
 
 Edge cases: null and empty texts have all densities at zero and get the score
 that these imply; labels with a null value are not used, of repeated labels the
@@ -38,7 +42,8 @@ SECOND_PERSON = frozenset(
 NEAR = 4
 LEET = str.maketrans("0134578@$!*", "oieastbasi ")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
-OBFUSCATED = re.compile(r"[A-Za-z]+[0-9@$!*]+[A-Za-z]+")
+# a match can only begin where a run of letters does, which keeps the search linear
+OBFUSCATED = re.compile(r"(?<![A-Za-z])[A-Za-z]++[0-9@$!*]++[A-Za-z]++")
 CAPITALS = re.compile(r"\b[A-Z]{3,}\b")
 SPACED = re.compile(r"\b(?:[A-Za-z][ .\-_*]){3,}[A-Za-z]\b")
 FEATURES = (
@@ -131,7 +136,7 @@ def dense(text: str, lexicon: dict[str, float]) -> list[float]:
 
 
 def fold_of(doc_id) -> int:
-    """0 or 1: lexica; 2, 3 or 4: trees; 5: calibration."""
+    """0 or 1: lexica; 2, 3, 4 or 5: trees and, by the trees of the other three, calibration."""
     z = (int(doc_id or 0) * 0x9E3779B97F4A7C15 + 0x1234567) & (2**64 - 1)
     return (z >> 40) % 6
 
@@ -178,11 +183,10 @@ def boost(x: np.ndarray, y: np.ndarray, fit: Fit) -> Model:
     return model
 
 
-def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
+def calibrate(model: Model, raw: np.ndarray, y: np.ndarray) -> None:
     """Isotonic regression of labels on raw scores, by pooling adjacent violators."""
-    if len(y) < 50 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return
-    raw = 1 / (1 + np.exp(-model.margin(x)))
     order = np.argsort(raw, kind="stable")
     blocks: list[list[float]] = []
     for s, v in zip(raw[order], y[order], strict=True):
@@ -196,6 +200,17 @@ def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
     model.iso_y = np.array([middle[0], *middle, middle[-1]])
 
 
+def cross_scores(x: np.ndarray, y: np.ndarray, fold: np.ndarray, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
+    """Raw scores and labels of the rows of each fold, by trees of the other folds."""
+    raw, own = [], []
+    for k in np.unique(fold):
+        rest = fold != k
+        if rest.any() and y[rest].min() < y[rest].max():
+            raw.append(1 / (1 + np.exp(-boost(x[rest], y[rest], fit).margin(x[~rest]))))
+            own.append(y[~rest])
+    return np.concatenate([*raw, np.zeros(0)]), np.concatenate([*own, np.zeros(0)])
+
+
 def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     """Fits lexica, trees and calibration on the bounded sample of labelled rows."""
     spark = docs.sparkSession
@@ -257,14 +272,12 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     x = np.array(rows["x"].to_pylist())[order]
     y = (rows["toxic"].to_numpy()[order] > 0).astype(float)
     fold = np.array([fold_of(i) for i in rows["doc_id"].to_numpy()[order]])
-    trees, last = (fold >= 2) & (fold < 5), fold == 5
-    if y[trees].sum() < 100:  # too few for folds
-        trees = last = np.ones(len(y), bool)
-    if y[trees].min() == y[trees].max():
+    x, y, fold = x[fold >= 2], y[fold >= 2], fold[fold >= 2]
+    if not len(y) or y.min() == y.max():
         return Model(lexicon)
-    model = boost(x[trees], y[trees], fit)
+    model = boost(x, y, fit)
     model.lexicon = lexicon
-    calibrate(model, x[last], y[last])
+    calibrate(model, *cross_scores(x, y, fold, fit))
     return model
 
 
