@@ -10,7 +10,8 @@ and row id, so copies of one text cost their hashes alone.
 
 Rules are Java expressions.  Positions come from the texts between the matches:
 ``split`` gives the gaps and ``regexp_extract_all`` the matches, in order, so
-that a match starts after the gaps and matches before it.
+that a match starts after the gaps and matches before it, whose lengths a window
+over the blob's matches sums up.
 
 Edge cases: null texts are empty blobs; null ids and repeated rows are paths
 like others; tables without rows give no rows; extra columns aren't read.
@@ -21,7 +22,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basalt.llm.common import cut, table, whole_text
@@ -56,38 +57,43 @@ def pair(rule: Rule) -> str:
     return f"{rule.kind}:{rule.version}"
 
 
-def spans_of(text: Column, rule: Rule, rank: int) -> Column:
-    """The rule's spans in a text, by start."""
+def matches_of(text: Column, rule: Rule) -> Column:
+    """The rule's matches in a text, in order, with the length of the gap before each."""
     gaps = F.transform(F.split(text, rule.pattern), F.length)
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + F.length(x["match"])
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        valid = x["match"].rlike(rule.valid) if rule.valid else F.lit(True)
-        return F.struct(
-            end.alias("at"),
-            F.when(valid, F.concat(state["out"], F.array(span))).otherwise(state["out"]).cast(SPAN).alias("out"),
-        )
-
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.when(text.rlike(rule.pattern), F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(none)
+    pairs = F.zip_with(
+        F.slice(gaps, F.lit(1), F.size(found)),
+        found,
+        lambda g, m: F.struct(g.alias("gap"), F.length(m).alias("length"), (m.rlike(rule.valid) if rule.valid else F.lit(True)).alias("valid")),
+    )
+    return F.when(text.rlike(rule.pattern), pairs).otherwise(F.array().cast("array<struct<gap:int,length:int,valid:boolean>>"))
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """A ledger row for each blob and rule that found something; of a blob with a list ``missing``, only its rules run."""
+    """A ledger row for each blob and rule that found something; of a blob with a list ``missing``, only its rules run.
+
+    Places are running sums of lengths over a blob's matches, so many matches in one text take time in proportion.
+    """
 
-    def spans(rule: Rule) -> Column:
-        out = spans_of(F.col("text"), rule, RULES.index(rule) if rule in RULES else 100)
-        return F.when(F.array_contains("missing", pair(rule)), out).otherwise(F.array().cast(SPAN)) if "missing" in blobs.columns else out
+    def matches(rule: Rule) -> Column:
+        out = matches_of(F.col("text"), rule)
+        return F.when(F.array_contains("missing", pair(rule)), out) if "missing" in blobs.columns else out
+
+    def ranked(rule: Rule) -> Column:
+        rank = RULES.index(rule) if rule in RULES else 100
+        return F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), F.lit(rank).alias("rank"), matches(rule).alias("m"))
 
-    ranked = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(r).alias("spans")) for r in rules]
     # no filter on the text: it would move below the join that picks the unseen blobs
-    found = blobs.select("blob", F.explode(F.array(*ranked)).alias("x"))
-    return found.select("blob", "x.kind", "x.version", "x.spans").where(F.size("spans") > 0)
+    found = blobs.select("blob", F.explode(F.array(*[ranked(r) for r in rules])).alias("x")).select("blob", "x.*")
+    # equal rows give equal findings, of which one stays
+    found = found.where(F.size("m") > 0).dropDuplicates(["blob", "kind"])
+    each = found.select("blob", "kind", "version", "rank", F.posexplode("m").alias("at", "m"))
+    to_here = Window.partitionBy("blob", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("m.gap") + F.col("m.length")).over(to_here).cast("int")).where("m.valid")
+    span = F.struct((F.col("end") - F.col("m.length")).alias("start"), "rank", "kind", "end")
+    return each.groupBy("blob", "kind").agg(F.first("version").alias("version"), F.sort_array(F.collect_list(span)).alias("spans")).select(
+        "blob", "kind", "version", F.col("spans").cast(SPAN).alias("spans")
+    )
 
 
 def read_ledger(spark: SparkSession, folder: str | None, what: str, schema: str) -> DataFrame:
@@ -101,31 +107,32 @@ def read_ledger(spark: SparkSession, folder: str | None, what: str, schema: str)
     return spark.read.schema(schema).parquet(path)
 
 
-def scan_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds ``blob`` and ``spans`` (by start, then rule) to doc_id.
+def scan_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Adds ``blob`` and ``spans`` (by start, then rule) to the ``keys`` of each row.
+
+    Where ``docs`` holds every historical version of its paths, ``keys`` are the columns
+    of path and version; a text that several of them share is scanned once.
 
     ``ledger`` is a shared folder.  Rules of which a blob has no record at their
     present version are run on it, and only those; the records are appended.
     Without a folder every blob is new.
     """
     spark = docs.sparkSession
-    paths = docs.select("doc_id", whole_text().alias("text")).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
+    paths = docs.select(*keys, F.struct(*keys).alias("__path"), whole_text().alias("text")).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
     seen = read_ledger(spark, ledger, "scanned", "blob string, rules string")
-    # the smallest row id stands for a blob; map-side aggregation leaves one row per task and blob
-    fresh = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    # the smallest path stands for a blob; map-side aggregation leaves one row per task and blob
+    fresh = paths.groupBy("blob").agg(F.min("__path").alias("first_path"))
     if ledger is not None:
         known = seen.groupBy("blob").agg(F.flatten(F.collect_set(F.split("rules", r"\|"))).alias("known"))
         present = F.array(*[F.lit(pair(r)) for r in rules])
         missing = F.when(F.col("known").isNull(), present).otherwise(F.array_except(present, F.col("known")))
         fresh = fresh.join(known, "blob", "left").withColumn("missing", missing).drop("known").where(F.size("missing") > 0)
-    fresh = fresh.withColumnRenamed("doc_id", "first_id")
     chosen = paths.join(
         fresh.withColumnRenamed("blob", "fresh_blob"),
-        (F.col("blob") == F.col("fresh_blob")) & F.col("doc_id").eqNullSafe(F.col("first_id")),
+        (F.col("blob") == F.col("fresh_blob")) & F.col("__path").eqNullSafe(F.col("first_path")),
         "left_semi" if ledger is None else "inner",
     )
-    # equal rows give equal findings, of which one stays
-    found = cut(scan(chosen, rules).dropDuplicates(["blob", "kind"]))
+    found = cut(scan(chosen, rules))
     if ledger is not None:
         old = read_ledger(spark, ledger, "found", LEDGER)
         current = reduce(lambda a, b: a | b, [(F.col("kind") == r.kind) & (F.col("version") == r.version) for r in rules])
@@ -134,7 +141,7 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule,
         fresh.select("blob", F.array_join("missing", "|").alias("rules")).write.mode("append").parquet(f"{ledger.rstrip('/')}/scanned")
         found = old.where(current).unionByName(found).dropDuplicates(["blob", "kind"])
     per_blob = found.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return paths.select("doc_id", "blob").join(per_blob, "blob", "left").withColumn(
+    return paths.select(*keys, "blob").join(per_blob, "blob", "left").withColumn(
         "spans", F.coalesce("spans", F.array().cast(SPAN))
     )
 
