@@ -41,12 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import BROADCAST_ROWS, Shared, cut, in_batches, table, whole_text
+from basalt.llm.common import Shared, cut, in_batches, table, whole_text
 
 LENGTH = 100  #: bytes of a string that counts as repeated
 GRAM = 32  #: bytes of an anchor
 SPAN = LENGTH - GRAM + 1  #: anchors in a window
 SLICE = 1 << 25
+BROADCAST_BYTES = 32 << 20
 PLACE = np.uint64((1 << 26) - 1)
 BITS = 27
 BLOCK = 1 << 20
@@ -283,11 +284,17 @@ def _settle_partition(batches):
         yield send(_block(done, False))
 
 
+def small(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """Broadcast if its counted size allows: up to 100 bytes a row, and 32 an entry of the column of ``lists``."""
+    entries = F.coalesce(F.sum(F.size(lists)), F.lit(0)) if lists else F.lit(0)
+    size = df.agg((F.count(F.lit(1)) * 100 + entries * 32).alias("bytes")).first().bytes
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def _first_rows(docs: DataFrame) -> DataFrame:
     """doc, tie, text of each distinct text's first document."""
     firsts = docs.groupBy("digest").agg(F.min("doc").alias("f_doc")).withColumnRenamed("digest", "f_digest")
-    if firsts.count() <= BROADCAST_ROWS:
-        firsts = F.broadcast(firsts)
+    firsts = small(firsts)
     on = (F.col("digest") == F.col("f_digest")) & (F.col("doc") == F.col("f_doc"))
     return docs.join(firsts, on, "left_semi").select("doc", "tie", "text")
 
@@ -344,10 +351,8 @@ def repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
 
     contexts = in_batches(first, gather, CONTEXT, rows=128)
     hot = again.where(F.col("k") > p.hot).select(F.col("key").alias("h_key"), F.ceil(F.col("k") / p.hot).cast("int").alias("copies"))
-    if hot.count() <= BROADCAST_ROWS:
-        hot = F.broadcast(hot)
-    contexts = contexts.join(hot, F.col("key") == F.col("h_key"), "left").drop("h_key")
-    contexts = contexts.withColumn("salt", F.when(F.col("copies") > 1, F.pmod(F.xxhash64("doc", "tie"), F.col("copies"))).otherwise(F.lit(0)))
+    contexts = contexts.join(small(hot), F.col("key") == F.col("h_key"), "left").drop("h_key")
+    contexts = contexts.withColumn("salt", F.when(F.col("copies") > 1, F.pmod(F.xxhash64("doc", "tie", "place"), F.col("copies"))).otherwise(F.lit(0)))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = contexts.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "doc", "tie", "place")
     found = cut(in_batches(dealt, _settle_partition, FOUND, rows=5_000))
@@ -371,11 +376,12 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), keep_bytes: bool = F
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on demand, spans and kept bytes of every row."""
     rows = _keyed(docs)
     lists = cut(repeats(rows, p)).select(F.col("doc").alias("r_doc"), F.col("tie").alias("r_tie"), "r")
-    firsts = rows.groupBy("digest").agg(F.min("doc").alias("f_doc")).withColumnRenamed("digest", "f_digest")
-    if lists.count() <= BROADCAST_ROWS and firsts.count() <= BROADCAST_ROWS:
-        firsts, lists = F.broadcast(firsts), F.broadcast(lists)
-    joined = rows.join(firsts, F.col("digest") == F.col("f_digest"), "left")
-    joined = joined.join(lists, (F.col("doc") == F.col("r_doc")) & (F.col("tie") == F.col("r_tie")), "left")
+    # what each text loses is gathered without the texts, which then move once at most
+    firsts = rows.groupBy("digest").agg(F.min("doc").alias("f_doc"))
+    copies = rows.select("doc", "tie", "digest").distinct().join(firsts, "digest").where("doc > f_doc")
+    copies = copies.select(F.col("doc").alias("r_doc"), F.col("tie").alias("r_tie"), F.lit(True).alias("is_copy"))
+    lost = copies.join(lists, ["r_doc", "r_tie"], "full")
+    joined = rows.join(small(cut(lost), "r"), (F.col("doc") == F.col("r_doc")) & (F.col("tie") == F.col("r_tie")), "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if keep_bytes:
         schema += ", spans array<struct<start:long,end:long>>, kept binary"
@@ -409,7 +415,7 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), keep_bytes: bool = F
             )
 
     return in_batches(
-        joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col("doc") > F.col("f_doc")).alias("is_copy"), "r"), run, schema
+        joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("is_copy", F.lit(False)).alias("is_copy"), "r"), run, schema
     )
 
 
