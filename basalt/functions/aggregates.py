@@ -41,6 +41,16 @@ def json_group_object(key: Column, value: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(bare, ","), F.lit("}"))
 
 
+def jsonb_group_array(x: Column, order_by: Column) -> Column:
+    """The same array as a variant."""
+    return F.parse_json(json_group_array(x, order_by))
+
+
+def jsonb_group_object(key: Column, value: Column) -> Column:
+    """The same object as a variant, whose names are in order."""
+    return F.parse_json(json_group_object(key, value))
+
+
 def bare(column: Column, by: Column, largest: bool = False) -> Column:
     """A bare column beside a lone min() or max(): its value in the row that supplied the extreme."""
     return F.max_by(column, by) if largest else F.min_by(column, by)

@@ -263,6 +263,32 @@ def json_patch(x: Column, with_: str) -> Column:
     return _mapped(lambda v: dumps(patch(v, other)))(x)
 
 
+def jsonb(text: Column) -> Column:
+    """The binary form, a variant: later paths read it without parsing again; text that isn't JSON is null."""
+    return F.try_parse_json(text)
+
+
+def jsonb_array(*xs: Column) -> Column:
+    return jsonb(json_array(*xs))
+
+
+def jsonb_object(*pairs: tuple[str, Column]) -> Column:
+    return jsonb(json_object(*pairs))
+
+
+def jsonb_edit(x: Column, mode: str, *changes: tuple[str, object]) -> Column:
+    """jsonb_set, jsonb_insert, jsonb_replace or jsonb_array_insert."""
+    return jsonb(edit(x, mode, *changes))
+
+
+def jsonb_remove(x: Column, *paths: str) -> Column:
+    return jsonb(json_remove(x, *paths))
+
+
+def jsonb_patch(x: Column, with_: str) -> Column:
+    return jsonb(json_patch(x, with_))
+
+
 ELEMENT = T.ArrayType(
     T.StructType([T.StructField(n, T.StringType() if n not in ("id", "parent") else T.LongType()) for n in ("key", "value", "type", "atom", "id", "parent", "fullkey", "path")])
 )

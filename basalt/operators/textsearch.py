@@ -1,9 +1,10 @@
-"""Full-text search over an inverted index that is a DataFrame.
+"""Full-text search over words in rows, or over an inverted index that is a DataFrame.
 
-The index has a row per token: (doc, term, pos).  Boolean queries are semi-joins
-and set operations on document ids, phrases and NEAR are joins on positions of
-the few terms asked for, and BM25 is an aggregation.  The terms of a query are
-filters on the index, so only their postings are read beyond the scan.
+rows() keeps each document's words in its own row; a query is then one condition
+and BM25 an expression, in one scan.  index() has a row per token, (doc, pos,
+term), for an index that is written once (partitioned by term, so that a word's
+postings are all that is read): queries are semi-joins and set operations on
+document ids, phrases and NEAR joins on positions of the few terms asked for.
 """
 
 from __future__ import annotations
@@ -83,14 +84,126 @@ def without(part: DataFrame, other: DataFrame) -> DataFrame:
     return part.join(other, "doc", "left_anti")
 
 
-_QUERY = re.compile(r'\s*(?:(\()|(\))|(AND|OR|NOT)\b|NEAR\(\s*([^\s,]+)\s+([^\s,]+)\s*(?:,\s*(\d+)\s*)?\)|"([^"]*)"|([^\s()"]+))')
+def rows(docs: DataFrame, key: str, *texts: str, tokenizer=tokens) -> DataFrame:
+    """(doc, t_<column>, ...): the words of each text column in its own row.
 
+    Queries and ranks over this form are expressions on the row: one scan, no shuffle, all words of a query at once.
+    """
+    return docs.select(F.col(key).alias("doc"), *[F.coalesce(tokenizer(F.col(t)), F.array().cast("array<string>")).alias(f"t_{t}") for t in texts])
+
+
+class OnPostings:
+    """What a query's parts are as sets of documents, by joins on postings."""
+
+    def __init__(self, postings: DataFrame) -> None:
+        self.postings = postings
+
+    def restricted(self, names: list[str]) -> OnPostings:
+        raise ValueError("postings have no columns: use rows()")
+
+    def initial(self, word: str) -> DataFrame:
+        return _with(self.postings, word).where("pos = 0").select("doc").distinct()
+
+    def term(self, word: str) -> DataFrame:
+        return term(self.postings, word)
+
+    def phrase(self, *words: str) -> DataFrame:
+        return phrase(self.postings, *words)
+
+    def near(self, first: str, second: str, distance: int) -> DataFrame:
+        return near(self.postings, first, second, distance)
+
+    both, either, without = staticmethod(both), staticmethod(either), staticmethod(without)
+
+
+class OnRows:
+    """What a query's parts are as conditions on a row of word arrays."""
+
+    def __init__(self, columns: list[str]) -> None:
+        self.columns = columns
+
+    def restricted(self, names: list[str]) -> OnRows:
+        """Only these columns, or with a leading minus all but them."""
+        chosen = [f"t_{n}" for n in names]
+        if names[0] == "-":
+            return OnRows([c for c in self.columns if c not in chosen])
+        missing = [c[2:] for c in chosen if c not in self.columns]
+        if missing:
+            raise ValueError(f"no such column: {missing[0]}")
+        return OnRows(chosen)
+
+    def _any(self, condition) -> Column:
+        out = F.lit(False)
+        for c in self.columns:
+            out = out | condition(F.col(c))
+        return out
+
+    @staticmethod
+    def _is(w: Column, word: str) -> Column:
+        return w.startswith(word[:-1]) if word.endswith("*") else w == word
+
+    def term(self, word: str) -> Column:
+        if word.endswith("*"):
+            return self._any(lambda ws: F.exists(ws, lambda w: self._is(w, word)))
+        return self._any(lambda ws: F.array_contains(ws, word))
+
+    def initial(self, word: str) -> Column:
+        return self._any(lambda ws: F.coalesce(self._is(F.get(ws, F.lit(0)), word), F.lit(False)))
+
+    def _somewhere(self, word: str, more) -> Column:
+        """Whether ``more`` holds at some place of the word."""
+        here = lambda ws: F.transform(ws, lambda w, i: F.when(self._is(w, word), more(ws, i)).otherwise(F.lit(False)))
+        return self._any(lambda ws: F.exists(here(ws), lambda x: x))
+
+    def phrase(self, *words: str) -> Column:
+        def rest(ws: Column, i: Column) -> Column:
+            out = F.lit(True)
+            for k, word in enumerate(words[1:], 1):
+                out = out & F.coalesce(self._is(F.get(ws, i + k), word), F.lit(False))
+            return out
+
+        return self._somewhere(words[0], rest)
+
+    def near(self, first: str, second: str, distance: int) -> Column:
+        def around(ws: Column, i: Column) -> Column:
+            before = F.slice(ws, F.greatest(i - distance, F.lit(1)), F.least(i, F.lit(distance + 1)))
+            after = F.slice(ws, i + 2, F.lit(distance + 1))
+            return F.exists(F.concat(before, after), lambda w: self._is(w, second))
+
+        return self._somewhere(first, around)
+
+    @staticmethod
+    def both(*parts: Column) -> Column:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out & p
+        return out
+
+    @staticmethod
+    def either(*parts: Column) -> Column:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out | p
+        return out
+
+    @staticmethod
+    def without(part: Column, other: Column) -> Column:
+        return part & ~other
 
-def match(postings: DataFrame, query: str) -> DataFrame:
-    """Documents that a query matches: words, prefix*, "phrases", NEAR(a b, n), AND, OR, NOT, parentheses.
 
+_QUERY = re.compile(
+    r'\s*(?:(\()|(\))|(AND|OR|NOT)\b|NEAR\(\s*([^\s,]+)\s+([^\s,]+)\s*(?:,\s*(\d+)\s*)?\)'
+    r'|(-?\s*(?:\{[^{}]*\}|[\w]+))\s*:|(\^)?(?:"([^"]*)"|([^\s()":{}]+)))'
+)
+
+
+def match(index: DataFrame, query: str) -> DataFrame:
+    """Documents that a query matches: words, prefix*, ^initial words, "phrases", NEAR(a b, n), AND, OR, NOT, parentheses.
+
+    ``index`` has postings or rows; over rows, ``column : ...``, ``{a b} : ...`` and ``- column : ...`` choose columns.
     NOT binds closest, then AND (also implied between neighbours), then OR.
     """
+    on_rows = "term" not in index.columns
     items, at = [], 0
     query = query.strip()
     while at < len(query):
@@ -103,66 +216,79 @@ def match(postings: DataFrame, query: str) -> DataFrame:
     def peek():
         return items[0] if items else None
 
-    def primary() -> DataFrame:
+    def primary(ops):
         m = items.pop(0) if items else None
         if m is None or m[2] or m[3]:
             raise ValueError(f"malformed query: {query}")
         if m[1]:
-            out = any_of()
+            out = any_of(ops)
             if not items or not items.pop(0)[2]:
                 raise ValueError(f"unbalanced query: {query}")
             return out
         if m[4]:
-            return near(postings, m[4].lower(), m[5].lower(), int(m[6] or 10))
-        if m[7] is not None:
-            return phrase(postings, *re.findall(r"[^\W_]+\*?", m[7].lower()))
-        return term(postings, m[8].lower())
-
-    def excluding() -> DataFrame:
-        out = primary()
+            return ops.near(m[4].lower(), m[5].lower(), int(m[6] or 10))
+        if m[7]:
+            return primary(ops.restricted([*["-"] * m[7].startswith("-"), *re.findall(r"\w+", m[7])]))
+        if m[9] is not None:
+            return ops.phrase(*re.findall(r"[^\W_]+\*?", m[9].lower()))
+        return (ops.initial if m[8] else ops.term)(m[10].lower())
+
+    def excluding(ops):
+        out = primary(ops)
         while peek() and peek()[3] == "NOT":
             items.pop(0)
-            out = without(out, primary())
+            out = ops.without(out, primary(ops))
         return out
 
-    def all_of() -> DataFrame:
-        parts = [excluding()]
+    def all_of(ops):
+        parts = [excluding(ops)]
         while peek() and not peek()[2] and peek()[3] != "OR":
             if peek()[3] == "AND":
                 items.pop(0)
-            parts.append(excluding())
-        return both(*parts)
+            parts.append(excluding(ops))
+        return ops.both(*parts)
 
-    def any_of() -> DataFrame:
-        parts = [all_of()]
+    def any_of(ops):
+        parts = [all_of(ops)]
         while peek() and peek()[3] == "OR":
             items.pop(0)
-            parts.append(all_of())
-        return either(*parts) if len(parts) > 1 else parts[0]
+            parts.append(all_of(ops))
+        return ops.either(*parts) if len(parts) > 1 else parts[0]
 
-    out = any_of()
+    out = any_of(OnRows([c for c in index.columns if c != "doc"]) if on_rows else OnPostings(index))
     if items:
         raise ValueError(f"unbalanced query: {query}")
-    return out
+    return index.where(out).select("doc") if on_rows else out
 
 
-def bm25(postings: DataFrame, *words: str) -> DataFrame:
+def bm25(rows: DataFrame, *words: str, weights: dict[str, float] | None = None) -> DataFrame:
     """(doc, score) of documents with any of the words; the better, the more negative.
 
-    One pass over the index gives lengths and the words' frequencies per document,
-    partially aggregated before the shuffle; the corpus' statistics are one row.
+    ``rows`` as rows() gives them; a hit counts by its column's weight (1 if none is given).  Lengths and
+    frequencies are expressions on the row; only the corpus' statistics, one row, are shuffled.
     """
-    counts = [F.sum(F.when(F.col("term") == w, 1).otherwise(0)).alias(f"f{i}") for i, w in enumerate(words)]
-    per_doc = postings.groupBy("doc").agg(F.count(F.lit(1)).alias("len"), *counts)
-    stats = per_doc.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(words))])
-    score = F.lit(0.0)
+    columns = [c for c in rows.columns if c != "doc"]
+    weight = {c: float((weights or {}).get(c[2:], 1.0)) for c in columns}
+
+    def total(value) -> Column:
+        return sum((value(c) for c in columns[1:]), value(columns[0]))
+
+    def frequency(word: str) -> Column:
+        return total(lambda c: F.lit(weight[c]) * F.size(F.filter(F.col(c), lambda w: w == word)))
+
+    def present(word: str) -> Column:
+        return OnRows(columns).term(word)
+
+    per_doc = rows.select(
+        "doc", total(lambda c: F.size(c)).alias("len"), *[frequency(w).alias(f"f{i}") for i, w in enumerate(words)], *[present(w).alias(f"p{i}") for i, w in enumerate(words)]
+    )
+    stats = per_doc.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.sum(F.col(f"p{i}").cast("long")).alias(f"d{i}") for i in range(len(words))])
+    score, hit = F.lit(0.0), F.lit(False)
     for i in range(len(words)):
         f, d = F.col(f"f{i}").cast("double"), F.col(f"d{i}")
         idf = F.greatest(F.ln((F.col("n") - d + 0.5) / (d + 0.5)), F.lit(LEAST_IDF))
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    hit = F.lit(False)
-    for i in range(len(words)):
-        hit = hit | (F.col(f"f{i}") > 0)
+        hit = hit | F.col(f"p{i}")
     return per_doc.where(hit).join(F.broadcast(stats)).select("doc", (-score).alias("score"))  # stats: one row
 
 

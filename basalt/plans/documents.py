@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from basalt.functions import aggregates as A
 from basalt.functions import json_text as J
 from basalt.registry import query
 from basalt.sources.tables import read
@@ -67,3 +68,27 @@ def tree(spark, sf_dir):
 def variant(spark, sf_dir):
     """Binary JSON: a variant, read by path without parsing again."""
     return read(spark, sf_dir, "events").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+@query("jsonb_build", "SELECT event_id, '[' || event_id || ',\"x\",null]' AS a, '{\"id\":' || event_id || ',\"t\":\"y\"}' AS o, CAST(event_id AS BIGINT) AS k FROM events")
+def jsonb_build(spark, sf_dir):
+    e = F.col("event_id")
+    array, made = J.jsonb_array(e, F.lit("x"), F.lit(None).cast("string")), J.jsonb_object(("id", e), ("t", F.lit("y")))
+    return read(spark, sf_dir, "events").select("event_id", F.to_json(array).alias("a"), F.to_json(made).alias("o"), F.variant_get(made, "$.id", "bigint").alias("k"))
+
+
+@query("jsonb_edits", over("CAST(1 AS BIGINT) AS i, CAST(9 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS d, CAST(event_id % 3 AS BIGINT) AS a, CAST(json_extract(j, '$.u') AS BIGINT) AS p, CAST(7 AS BIGINT) AS x"))
+def jsonb_edits(spark, sf_dir):
+    j = F.col("j")
+    at = lambda v, path: F.variant_get(v, path, "bigint")
+    return docs(spark, sf_dir).select(
+        "event_id", at(J.jsonb_edit(j, "insert", ("$.in.new", 1)), "$.in.new").alias("i"), at(J.jsonb_edit(j, "replace", ("$.in.k", 9)), "$.in.k").alias("r"),
+        at(J.jsonb_remove(j, "$.in"), "$.in.k").alias("d"), at(J.jsonb_edit(j, "set", ("$.tags[0]", 7)), "$.tags[1]").alias("a"),
+        at(J.jsonb_patch(j, '{"in":null}'), "$.u").alias("p"), at(J.jsonb_edit(j, "array_insert", ("$.tags[1]", 7)), "$.tags[1]").alias("x"),
+    )
+
+
+@query("jsonb_groups", "SELECT n_regionkey, '[' || string_agg(n_nationkey, ',' ORDER BY n_nationkey) || ']' AS a, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' ORDER BY n_name) || '}' AS o FROM nation GROUP BY n_regionkey")
+def jsonb_groups(spark, sf_dir):
+    k = F.col("n_nationkey")
+    return read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.to_json(A.jsonb_group_array(k, k)).alias("a"), F.to_json(A.jsonb_group_object(F.col("n_name"), k)).alias("o"))

@@ -14,10 +14,14 @@ def postings(spark, sf_dir):
     return X.index(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def words(spark, sf_dir):
+    return X.rows(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def found(name, text, oracle):
     @query(name, f"WITH {POSTINGS}, d AS (SELECT DISTINCT doc, term FROM p) {oracle}")
     def run(spark, sf_dir):
-        return X.match(postings(spark, sf_dir), text)
+        return X.match(words(spark, sf_dir), text)
 
 
 HAS = "SELECT doc FROM d WHERE term = "
@@ -27,6 +31,8 @@ found("fts_and_or_not", "(with AND this) OR was NOT that", f"({HAS} 'with' INTER
 found("fts_implicit_and", "with this was", f"{HAS} 'with' INTERSECT {HAS} 'this' INTERSECT {HAS} 'was'")
 found("fts_prefix", "wit*", "SELECT DISTINCT doc FROM d WHERE starts_with(term, 'wit')")
 found("fts_phrase", '"of the"', PHRASE)
+found("fts_initial", "^the OR ^le", "SELECT doc FROM p WHERE pos = 0 AND term IN ('the', 'le')")
+found("fts_phrase_prefix", '"of th*"', PHRASE.replace("b.term = 'the'", "starts_with(b.term, 'th')"))
 found("fts_near", "NEAR(with was, 5)", "SELECT DISTINCT a.doc FROM p a JOIN p b ON a.doc = b.doc WHERE a.term = 'with' AND b.term = 'was' AND abs(a.pos - b.pos) - 1 <= 5")
 
 
@@ -35,7 +41,7 @@ s AS (SELECT count(*) AS n, avg(len) AS mean, count(*) FILTER (f0 > 0) AS d0, co
 SELECT doc, round(-(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * len / mean)) + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
 FROM l, s WHERE f0 > 0 OR f1 > 0""")
 def bm25(spark, sf_dir):
-    return X.bm25(postings(spark, sf_dir), "with", "this").select("doc", F.round("score", 6).alias("score"))
+    return X.bm25(words(spark, sf_dir), "with", "this").select("doc", F.round("score", 6).alias("score"))
 
 
 @query("fts_vocabulary", f"WITH {POSTINGS} SELECT term, count(DISTINCT doc) AS docs, count(*) AS occurrences FROM p GROUP BY term")
@@ -63,3 +69,28 @@ def trigrams(spark, sf_dir):
 @query("fts_snippet")
 def snippet(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", X.snippet(F.col("text"), "with").alias("s"))
+
+
+def part_words(spark, sf_dir):
+    return X.rows(read(spark, sf_dir, "part"), "p_partkey", "p_name", "p_type")
+
+
+PARTS = r"""t AS (SELECT p_partkey AS doc, regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+') AS a, regexp_extract_all(lower(p_type), '[\p{L}\p{N}]+') AS b FROM part)"""
+
+
+@query("fts_postings", f"WITH {POSTINGS} SELECT DISTINCT a.doc FROM p a JOIN p b ON a.doc = b.doc AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' EXCEPT SELECT doc FROM p WHERE term = 'was'")
+def by_postings(spark, sf_dir):
+    """The same query language over an inverted index."""
+    return X.match(postings(spark, sf_dir), '"of the" NOT was')
+
+
+@query("fts_columns", f"WITH {PARTS} SELECT doc FROM t WHERE (len(list_filter(a, lambda w: starts_with(w, 'r'))) > 0 AND len(list_filter(b, lambda w: starts_with(w, 's'))) > 0) OR len(list_filter(b, lambda w: starts_with(w, 'e'))) > 0")
+def by_columns(spark, sf_dir):
+    return X.match(part_words(spark, sf_dir), "(p_name : r* AND {p_type} : s*) OR - p_name : e*")
+
+
+@query("fts_bm25_weights", f"""WITH {PARTS}, l AS (SELECT doc, len(a) + len(b) AS len, 10.0 * len(list_filter(a, lambda w: w = 'small')) + len(list_filter(b, lambda w: w = 'small')) AS f FROM t),
+s AS (SELECT count(*) AS n, avg(len) AS mean, count(*) FILTER (f > 0) AS d FROM l)
+SELECT doc, round(-(greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM l, s WHERE f > 0""")
+def weighted(spark, sf_dir):
+    return X.bm25(part_words(spark, sf_dir), "small", weights={"p_name": 10.0}).select("doc", F.round("score", 6).alias("score"))

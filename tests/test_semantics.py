@@ -160,3 +160,20 @@ def test_stream_windows_equal_batch_windows(spark, tmp_path):
     run = out.writeStream.format("memory").queryName("windows_out").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert {tuple(r) for r in spark.table("windows_out").collect()} == want
+
+
+def test_search_over_rows_agrees_with_postings(spark):
+    docs = spark.createDataFrame(
+        [(1, "one two three", "alpha"), (2, "two one", None), (3, "", "one"), (4, None, "two two"), (5, "three one two one", "beta two"), (6, "two x x two", "")], "d long, t string, u string"
+    )
+    p, r = textsearch.index(docs, "d", "t"), textsearch.rows(docs, "d", "t")
+    for q in ['one', '"one two"', 'NEAR(one two, 1)', 'NEAR(two two, 2)', 'NEAR(two two, 1)', 't*', '"three o*"', '^two', 'one NOT three', '(x OR three) two', '^t* NOT x']:
+        assert sorted(x.doc for x in textsearch.match(p, q).collect()) == sorted(x.doc for x in textsearch.match(r, q).collect()), q
+    both = textsearch.rows(docs, "d", "t", "u")
+    hits = lambda q: sorted(x.doc for x in textsearch.match(both, q).collect())
+    assert hits("u : two") == [4, 5]
+    assert hits("- u : two") == [1, 2, 5, 6]
+    assert hits('{t u} : "two two"') == [4]
+    assert hits("u : (one OR alpha) NOT t : three") == [3]
+    with pytest.raises(ValueError):
+        textsearch.match(both, "none : two")
