@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from basalt.llm import pieces, quality, secrets, toxicity
@@ -172,3 +173,56 @@ def test_toxicity_on_held_out_rows(spark):
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, none).count() == 1502
     assert scores[5000] == pytest.approx(scores[5001])
+
+
+def test_secret_places_in_a_text_with_very_many_matches(spark):
+    text = " ".join(f"{i:024x}" for i in range(30_000))
+    (row,) = secrets.scan_secrets(docs_of(spark, [text])).collect()
+    assert [(s.start, s.end) for s in row.spans] == [(25 * i, 25 * i + 24) for i in range(30_000)]
+
+
+def test_secret_findings_of_every_version_of_a_path(spark):
+    key = "AKIA" + "A" * 16
+    rows = [("a", 1, key), ("a", 2, "clean"), ("b", 1, "x " + key), ("b", 2, key), (None, 1, None)]
+    docs = spark.createDataFrame(rows, "path string, version int, text string")
+    got = {(r.path, r.version): [s.start for s in r.spans] for r in secrets.scan_secrets(docs, keys=("path", "version")).collect()}
+    assert got == {("a", 1): [0], ("a", 2): [], ("b", 1): [2], ("b", 2): [0], (None, 1): []}
+    assert secrets.scan_secrets(docs.limit(0), keys=("path", "version")).count() == 0
+
+
+def test_toxicity_features_take_time_in_proportion(spark):
+    import time
+
+    began = time.time()
+    toxicity.dense("a" * 5_000_000, {})
+    toxicity.dense("a1" * 2_500_000, {})
+    assert time.time() - began < 30
+    old = re.compile(r"[A-Za-z]+[0-9@$!*]+[A-Za-z]+")
+    for t in ("ab1cd2ef", "id10t 1d10t a!!b c", "x9 y", "A$$A$$A", "", "a1b1c1d", "é1a2b"):
+        assert toxicity.OBFUSCATED.findall(t) == old.findall(t)
+
+
+def test_calibration_equals_plain_isotonic_regression():
+    r = np.random.default_rng(3)
+    x, y = r.random((200, 2)), (r.random(200) < 0.4).astype(float)
+    model = toxicity.boost(x, y, toxicity.Fit(trees=3))
+    raw = r.random(200)
+    toxicity.calibrate(model, raw, y)
+    order = np.argsort(raw, kind="stable")
+    # the largest least mean over all spans that hold a point
+    want = []
+    for i in range(200):
+        want.append(max(min(y[order[a : b + 1]].mean() for b in range(i, 200)) for a in range(i + 1)))
+    blocks = sorted(set(np.round(want, 9)))
+    assert len(blocks) == len(model.iso_y) - 2
+    assert (np.diff(model.iso_y) >= 0).all()
+
+
+def test_out_of_fold_scores_come_from_trees_of_the_other_folds():
+    r = np.random.default_rng(4)
+    x, y, fold = r.random((120, 2)), (r.random(120) < 0.5).astype(float), np.repeat([2, 3, 4, 5], 30)
+    fit = toxicity.Fit(trees=4)
+    raw, own = toxicity.cross_scores(x, y, fold, fit)
+    assert len(raw) == 120 and (own == y).all()
+    again = toxicity.boost(x[30:], y[30:], fit).margin(x[:30])
+    assert np.allclose(raw[:30], 1 / (1 + np.exp(-again)))
