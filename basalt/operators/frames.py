@@ -87,12 +87,49 @@ def with_frame(
     elif exclude == "current row":
         parts = [part(start, min(end, -1)), part(max(start, 1), end)]
     else:
-        raise NotImplementedError("EXCLUDE GROUP and TIES need a frame in groups")
+        parts = _without_peers(function, x, by_rank, by_row, peers, rank, row, start, end)
+        if exclude == "ties" and inside:
+            parts.append(x if function != "count" else F.when(x.isNotNull(), 1).otherwise(0).cast("long"))
     kept = [p for p in parts if p is not None]
     value = _COMBINE[function](kept) if kept else F.lit(0 if function == "count" else None)
     return df.withColumn(name, value).drop(rank, row)
 
 
+def _without_peers(function: str, x: Column, by_rank, by_row, peers, rank: str, row: str, start: int, end: int) -> list[Column]:
+    """Aggregates of a ROWS frame's rows before and after the current row's peers.
+
+    A side without a bound is a frame over ranks, cut by the frame's other end where that lies before the
+    peers; a bounded side is a list of at most its own rows, from which the peers are filtered.
+    """
+    aggregate = getattr(F, function)
+    every = peers.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    none = F.lit(0).cast("long") if function == "count" else F.lit(None)
+
+    def listed(lo: int, hi: int) -> Column:
+        items = F.collect_list(F.struct(F.col(rank).alias("r"), x.alias("x"))).over(by_row.rowsBetween(lo, hi))
+        values = F.transform(F.filter(items, lambda i: (i["r"] != F.col(rank)) & i["x"].isNotNull()), lambda i: i["x"])
+        if function == "count":
+            return F.size(values).cast("long")
+        if function in ("min", "max"):
+            return getattr(F, f"array_{function}")(values)
+        return F.when(F.size(values) > 0, F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.get(values, F.lit(0)), lambda a, v: a + v))
+
+    def side(open_: bool, near: int, far: int, ranks: tuple[int, int], whole: Column) -> Column:
+        if not open_:
+            return listed(min(near, far), max(near, far))
+        cut = aggregate(x).over(by_row.rowsBetween(*sorted((_clamp(far), near))))
+        return F.when(whole, aggregate(x).over(by_rank.rangeBetween(*ranks))).otherwise(cut)
+
+    parts = []
+    if start < 0:
+        whole = F.min(row).over(every) - 1 <= F.col(row) + min(end, -1)
+        parts.append(F.coalesce(side(start <= -UNBOUNDED, min(end, -1), start, (Window.unboundedPreceding, -1), whole), none))
+    if end > 0:
+        whole = F.max(row).over(every) + 1 >= F.col(row) + max(start, 1)
+        parts.append(F.coalesce(side(end >= UNBOUNDED, max(start, 1), end, (1, Window.unboundedFollowing), whole), none))
+    return parts
+
+
 def lag_by(df: DataFrame, name: str, x: str, offset: Column, over: Over, default: Column | None = None) -> DataFrame:
     """LAG with an offset that differs from row to row: a join on the row's number."""
     keys = [c for c in over.partition]

@@ -92,3 +92,12 @@ def jsonb_edits(spark, sf_dir):
 def jsonb_groups(spark, sf_dir):
     k = F.col("n_nationkey")
     return read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.to_json(A.jsonb_group_array(k, k)).alias("a"), F.to_json(A.jsonb_group_object(F.col("n_name"), k)).alias("o"))
+
+
+@query("json_text_forms", over("'[1,' || event_id || ']' AS q, 0 AS good, length(j) + 1 AS bad, '\"' || props[1:1] || '\"' AS s"))
+def text_forms(spark, sf_dir):
+    j = F.col("j")
+    flat = F.regexp_replace(J.pretty(J.json_array(F.lit(1), F.col("event_id"))), r"\s", "")
+    return docs(spark, sf_dir).select(
+        "event_id", flat.alias("q"), J.error_position(j).cast("int").alias("good"), J.error_position(F.concat(j, F.lit("}"))).alias("bad"), J.json_quote(F.substring("props", 1, 1), "string").alias("s")
+    )

@@ -129,3 +129,23 @@ def udf_scalar(spark, sf_dir):
 
     spark.udf.register("twice_and_one", twice_and_one)
     return spark.sql("SELECT p_partkey, twice_and_one(p_size) AS v FROM {t}", t=read(spark, sf_dir, "part"))
+
+
+@query("f_concat_trim", "SELECT c_custkey, concat_ws('-', c_name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, 'x') AS c, ltrim(c_name, 'Cus') AS l, rtrim(c_name, '0123') AS r FROM customer")
+def concat_trim(spark, sf_dir):
+    even = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))
+    name = F.col("c_name")
+    return read(spark, sf_dir, "customer").select("c_custkey", T.concat_ws("-", name, even, F.lit("x")).alias("c"), T.trim(name, "Cus", "left").alias("l"), T.trim(name, "0123", "right").alias("r"))
+
+
+@query("f_blobs", "SELECT n_nationkey, CAST(n_nationkey % 5 AS INT) AS z, CAST(n_nationkey % 7 + 1 AS INT) AS r, 'a' || chr(233) || chr(66) AS u FROM nation")
+def blobs(spark, sf_dir):
+    k = F.col("n_nationkey")
+    return read(spark, sf_dir, "nation").select(
+        "n_nationkey", F.octet_length(T.zeroblob(k % 5)).alias("z"), F.octet_length(T.randomblob(k % 7 + 1)).alias("r"), T.unistr(F.concat(F.lit("a\\u00e9\\0042"), F.substring("n_name", 1, 0))).alias("u")
+    )
+
+
+@query("f_soundex", "SELECT v.w, v.s FROM (VALUES ('Robert', 'R163'), ('Rupert', 'R163'), ('Tymczak', 'T522'), ('Pfister', 'P236'), ('Honeyman', 'H555')) v(w, s)")
+def soundex(spark, sf_dir):
+    return spark.createDataFrame([("Robert",), ("Rupert",), ("Tymczak",), ("Pfister",), ("Honeyman",)], "w string").select("w", F.soundex("w").alias("s"))

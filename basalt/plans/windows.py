@@ -47,6 +47,22 @@ frame_query("w9_exclude_group", "sum", "groups", -UNBOUNDED, 0, "group", "GROUPS
 frame_query("w9_exclude_ties", "sum", "groups", -1, UNBOUNDED, "ties", "GROUPS BETWEEN 1 PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES")
 frame_query("w9_exclude_ties_max", "max", "groups", -2, 2, "ties", "GROUPS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE TIES")
 frame_query("w9_exclude_current_row", "sum", "groups", -UNBOUNDED, UNBOUNDED, "current row", "GROUPS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW")
+
+
+def rows_query(name, function, start, end, exclude, text):
+    """EXCLUDE GROUP and TIES in ROWS frames; peers have equal values, so their order doesn't show."""
+    duck = f"SELECT o_custkey, CAST({function}(band) OVER (PARTITION BY o_custkey ORDER BY band {text}) AS BIGINT) AS v FROM " + BASE.replace("{orders}", "orders").replace("CAST(o_totalprice / 40000 AS INT)", "CAST(round(o_totalprice / 40000) AS INT)")
+
+    @query(name, duck)
+    def run(spark, sf_dir):
+        out = frames.with_frame(base(spark, sf_dir), "v", function, F.col("band").cast("bigint"), OVER, "rows", start, end, exclude)
+        return out.select("o_custkey", "v")
+
+
+rows_query("w9_rows_exclude_group", "sum", -3, 2, "group", "ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING EXCLUDE GROUP")
+rows_query("w9_rows_exclude_ties", "count", -UNBOUNDED, 1, "ties", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 FOLLOWING EXCLUDE TIES")
+rows_query("w9_rows_exclude_ties_max", "max", -2, UNBOUNDED, "ties", "ROWS BETWEEN 2 PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES")
+rows_query("w9_rows_exclude_group_before", "min", -UNBOUNDED, -2, "group", "ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING EXCLUDE GROUP")
 frame_query("w9_exclude_group_count", "count", "groups", -1, 1, "group", "GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP")
 
 
