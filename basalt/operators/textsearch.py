@@ -265,7 +265,7 @@ def bm25(rows: DataFrame, *words: str, weights: dict[str, float] | None = None)
     """(doc, score) of documents with any of the words; the better, the more negative.
 
     ``rows`` as rows() gives them; a hit counts by its column's weight (1 if none is given).  Lengths and
-    frequencies are expressions on the row; only the corpus' statistics, one row, are shuffled.
+    frequencies are expressions on the row; a few numbers a document are shuffled, no words.
     """
     columns = [c for c in rows.columns if c != "doc"]
     weight = {c: float((weights or {}).get(c[2:], 1.0)) for c in columns}
@@ -273,23 +273,24 @@ def bm25(rows: DataFrame, *words: str, weights: dict[str, float] | None = None)
     def total(value) -> Column:
         return sum((value(c) for c in columns[1:]), value(columns[0]))
 
-    def frequency(word: str) -> Column:
-        return total(lambda c: F.lit(weight[c]) * F.size(F.filter(F.col(c), lambda w: w == word)))
+    def frequency(word: str, weighted: bool) -> Column:
+        hits = lambda c: F.size(F.filter(F.col(c), lambda w: w == word))
+        return total(lambda c: F.lit(weight[c]) * hits(c)) if weighted else total(hits)
 
-    def present(word: str) -> Column:
-        return OnRows(columns).term(word)
-
-    per_doc = rows.select(
-        "doc", total(lambda c: F.size(c)).alias("len"), *[frequency(w).alias(f"f{i}") for i, w in enumerate(words)], *[present(w).alias(f"p{i}") for i, w in enumerate(words)]
-    )
-    stats = per_doc.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.sum(F.col(f"p{i}").cast("long")).alias(f"d{i}") for i in range(len(words))])
+    counts = [frequency(w, False).alias(f"c{i}") for i, w in enumerate(words)]
+    if weights:
+        counts += [frequency(w, True).alias(f"f{i}") for i, w in enumerate(words)]
+    # both uses read the same shuffled rows of a few numbers, so that texts are split once
+    per_doc = rows.select("doc", total(lambda c: F.size(c)).alias("len"), *counts).repartition("doc")
+    stats = per_doc.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.sum((F.col(f"c{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(words))])
     score, hit = F.lit(0.0), F.lit(False)
     for i in range(len(words)):
-        f, d = F.col(f"f{i}").cast("double"), F.col(f"d{i}")
+        f, d = F.col(f"f{i}" if weights else f"c{i}").cast("double"), F.col(f"d{i}")
         idf = F.greatest(F.ln((F.col("n") - d + 0.5) / (d + 0.5)), F.lit(LEAST_IDF))
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-        hit = hit | F.col(f"p{i}")
-    return per_doc.where(hit).join(F.broadcast(stats)).select("doc", (-score).alias("score"))  # stats: one row
+        hit = hit | (F.col(f"c{i}") > 0)
+    # a condition on both sides stays above the join, where it leaves the shared rows as they are
+    return per_doc.join(F.broadcast(stats)).where(F.when(F.col("n") > 0, hit)).select("doc", (-score).alias("score"))  # stats: one row
 
 
 def vocabulary(postings: DataFrame) -> DataFrame:
