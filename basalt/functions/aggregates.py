@@ -51,6 +51,12 @@ def jsonb_group_object(key: Column, value: Column) -> Column:
     return F.parse_json(json_group_object(key, value))
 
 
-def bare(column: Column, by: Column, largest: bool = False) -> Column:
-    """A bare column beside a lone min() or max(): its value in the row that supplied the extreme."""
+def bare(column: Column, by: Column, largest: bool = False, first: Column | None = None) -> Column:
+    """A bare column beside a lone min() or max(): its value in the row that supplied the extreme.
+
+    Of rows that tie, the one with the least ``first``, an integer, supplies it (any of them if there is none).
+    """
+    if first is not None:
+        # the complement falls as the number grows and cannot overflow
+        by = F.when(by.isNotNull(), F.struct(by, F.bitwise_not(first) if largest else first))
     return F.max_by(column, by) if largest else F.min_by(column, by)

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from basalt import registry
 from basalt.functions import datetimes as D
 from basalt.functions import numeric as N
 from basalt.functions import text as T
@@ -177,3 +178,13 @@ def test_search_over_rows_agrees_with_postings(spark):
     assert hits("u : (one OR alpha) NOT t : three") == [3]
     with pytest.raises(ValueError):
         textsearch.match(both, "none : two")
+
+
+def test_bare_columns_of_ties_come_from_the_first_order(spark, tmp_path):
+    """Equal prices: the least key; nulls are passed over, a customer without prices has none."""
+    rows = [(3, 1, 9.5, "c"), (1, 1, 9.5, "a"), (2, 1, 9.5, "b"), (4, 1, 1.0, "d"), (5, 2, None, "e"), (6, 3, 2.0, None), (7, 3, 1.0, "g"), (9, 4, 0.0, "i"), (8, 4, -0.0, "h")]
+    for n in (1, 3):
+        folder = str(tmp_path / str(n))
+        spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").repartition(n).write.parquet(folder + "/orders.parquet")
+        got = registry.queries()["a13_bare_columns"](spark, folder).collect()
+        assert sorted(map(tuple, got)) == [(1, 9.5, 1, "a"), (2, None, None, None), (3, 2.0, 6, "g"), (4, 0.0, 8, "h")]
