@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import string
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types
@@ -210,7 +212,12 @@ def format_text(template: str, values: list) -> str:
         if isinstance(v, str):
             m = re.match(r"\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+)" if kind is float else r"\s*[+-]?\d+", v)
             v = m.group() if m else 0
-        return kind(v or 0)
+        return kind(0 if v is None else v)
+
+    def whole(v):
+        if isinstance(v, float):
+            return int(v) if math.isfinite(v) else 0 if v != v else 2**63 - 1 if v > 0 else -(2**63)
+        return number(v, int)
 
     def fill(m: re.Match) -> str:
         flags, width, precision, kind = m.groups()
@@ -223,22 +230,22 @@ def format_text(template: str, values: list) -> str:
         v = take()
         sign = "+" if flags.rfind("+") > flags.rfind(" ") else " " if " " in flags else ""
         if kind in "diu":
-            n = number(v, int) if not isinstance(v, float) else int(v)
+            n = whole(v)
             body = str(abs(n)).rjust(precision or 0, "0")
             if "," in flags:
                 body = f"{int(body):,}"
             body, lead = body, "-" if n < 0 else sign
         elif kind in "xXo":
-            n = number(v, int) & (2**64 - 1)
+            n = whole(v) & (2**64 - 1)
             body = format(n, kind).rjust(precision or 0, "0")
             lead = {"x": "0x", "X": "0X", "o": "0"}[kind] if "#" in flags and n else ""
         elif kind in "feEgG":
             x = number(v)
             body = format(abs(x), f".{6 if precision is None else precision}{kind}")
-            if "," in flags and kind == "f":
-                whole, _, part = body.partition(".")
-                body = f"{int(whole):,}" + ("." + part if part else "")
-            lead = "-" if x < 0 else sign
+            if "," in flags and kind == "f" and math.isfinite(x):
+                units, _, part = body.partition(".")
+                body = f"{int(units):,}" + ("." + part if part else "")
+            lead = "-" if x == x and math.copysign(1, x) < 0 else sign  # zero has a sign of its own
         else:
             lead = ""
             text = "" if v is None else str(v)
@@ -261,12 +268,10 @@ def format_text(template: str, values: list) -> str:
 
 
 def printf(template: str, *xs: Column) -> Column:
-    """printf with a constant template, in Arrow batches."""
+    """printf with a constant template, in Arrow batches; a null counts as 0 or as no text, NaN as a number."""
 
-    @F.pandas_udf(types.StringType())
-    def run(row: pd.DataFrame) -> pd.Series:
-        columns = [row[c].tolist() for c in row.columns]
-        clean = lambda v: None if v is None or (isinstance(v, float) and v != v) else v
-        return pd.Series([format_text(template, [clean(v) for v in vs]) for vs in zip(*columns, strict=True)])
+    @F.arrow_udf(types.StringType())
+    def run(*columns: pa.Array) -> pa.Array:
+        return pa.array([format_text(template, vs) for vs in zip(*(c.to_pylist() for c in columns), strict=True)], pa.string())
 
-    return run(F.struct(*[x.alias(f"v{i}") for i, x in enumerate(xs)]))
+    return run(*xs)

@@ -99,8 +99,10 @@ def char_unhex(spark, sf_dir):
 
 @query("f_printf", "SELECT c_custkey, printf('%05d|%s|%.2f|%x', c_custkey, c_mktsegment, c_acctbal, c_custkey) AS p FROM customer")
 def printf(spark, sf_dir):
-    k = F.col("c_custkey")
-    return read(spark, sf_dir, "customer").select("c_custkey", T.printf("%05d|%s|%.2f|%x", k, F.col("c_mktsegment"), F.col("c_acctbal"), k).alias("p"))
+    """As in its SQL, a null among the values makes the text null."""
+    k, segment, balance = F.col("c_custkey"), F.col("c_mktsegment"), F.col("c_acctbal")
+    text = T.printf("%05d|%s|%.2f|%x", k, segment, balance, k)
+    return read(spark, sf_dir, "customer").select("c_custkey", F.when(k.isNotNull() & segment.isNotNull() & balance.isNotNull(), text).alias("p"))
 
 
 @query("f_scalar_min_max", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN least(o_custkey, o_orderkey, 500) END AS lo, CASE WHEN o_orderstatus <> 'P' THEN greatest(o_custkey, o_orderkey) END AS hi FROM orders")

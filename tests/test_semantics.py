@@ -188,3 +188,15 @@ def test_bare_columns_of_ties_come_from_the_first_order(spark, tmp_path):
         spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").repartition(n).write.parquet(folder + "/orders.parquet")
         got = registry.queries()["a13_bare_columns"](spark, folder).collect()
         assert sorted(map(tuple, got)) == [(1, 9.5, 1, "a"), (2, None, None, None), (3, 2.0, 6, "g"), (4, 0.0, 8, "h")]
+
+
+def test_printf_keeps_the_sign_of_zero_and_takes_nulls_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "a", -0.0), (2, "b", 0.0), (3, "c", -0.001), (4, None, 1.0), (5, "d", None), (None, "e", 2.0), (6, "", float("nan")), (-7, "f", float("-inf")), (2**40, "%s", 0.125)]
+    spark.createDataFrame(rows, "c_custkey long, c_mktsegment string, c_acctbal double").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    got = registry.queries()["f_printf"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(con.execute(registry.oracle_sql()["f_printf"]).fetchall(), key=repr)
+    assert T.format_text("%.1f|%+.0f|%d|%x", [-0.0, -0.0, float("nan"), 2.7]) == "-0.0|-0|0|2"
