@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,34 @@ def range_join(points: DataFrame, spans: DataFrame, point: str, low: str, high:
     return keyed.join(spread, "__bin").where(F.col(point).between(F.col(low), F.col(high))).drop("__bin")
 
 
+def range_counts(points: DataFrame, spans: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
+    """(low, high, n): how many pairs range_join() finds for each distinct span, without making a pair.
+
+    n is the number of points up to high less those below low, times the span's rows.
+    Both are running counts: within a bin of ``width`` by a window over distinct
+    points and ends of spans, over the bins before it by their totals.  Bins without
+    either have no row; choose a width by which points spread over the tasks.
+    """
+    spread = spans.where(F.col(low) <= F.col(high)).groupBy(F.col(low).alias("__low"), F.col(high).alias("__high")).agg(F.count(F.lit(1)).alias("__rows"))
+    known = points.where(F.col(point).isNotNull()).groupBy(F.col(point).alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
+    # at equal values: low ends, points, high ends, so that a span has both its ends
+    none, zero = F.lit(None).cast("double"), F.lit(0).cast("long")
+    ends = F.array(*[F.struct(F.col(c).cast("double").alias("x"), F.lit(side).alias("side")) for c, side in (("__low", 0), ("__high", 2))])
+    ends = spread.select("__low", "__high", "__rows", F.explode(ends).alias("e")).select(F.col("e.x").alias("__x"), F.col("e.side").alias("__side"), zero.alias("__n"), "__low", "__high", "__rows")
+    marks = known.select(F.col("__x").cast("double"), F.lit(1).alias("__side"), "__n", none.alias("__low"), none.alias("__high"), zero.alias("__rows"))
+    # NaN is above all numbers and so is its bin
+    bin_of = F.when(F.isnan("__x"), F.lit(2**63 - 1)).otherwise(F.floor(F.col("__x") / width))
+    both = marks.unionByName(ends).withColumn("__bin", bin_of)
+    totals = both.groupBy("__bin").agg(F.sum("__n").alias("__total"))
+    before = F.coalesce(F.sum("__total").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), zero)
+    totals = totals.select("__bin", before.alias("__before"))  # a row for each bin
+    within = Window.partitionBy("__bin").orderBy("__x", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("__up_to", F.sum("__n").over(within)).where("__side <> 1").join(totals, "__bin")
+    sign = F.when(F.col("__side") == 2, 1).otherwise(-1)
+    per_span = counted.groupBy("__low", "__high").agg(F.sum(sign * (F.col("__before") + F.col("__up_to"))).alias("__pairs"), F.max("__rows").alias("__rows"))
+    return per_span.select(F.col("__low").alias(low), F.col("__high").alias(high), (F.col("__pairs") * F.col("__rows")).alias("n")).where("n > 0")
+
+
 def as_of_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, value: str) -> DataFrame:
     """For each left row the last ``value`` of the same key at or before its time: one shuffle, no pairs."""
     from pyspark.sql import Window

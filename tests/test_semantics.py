@@ -9,7 +9,7 @@ from basalt import registry
 from basalt.functions import datetimes as D
 from basalt.functions import numeric as N
 from basalt.functions import text as T
-from basalt.operators import changes, textsearch, vectors
+from basalt.operators import changes, joins, textsearch, vectors
 from basalt.operators.recursive import fixpoint
 from basalt.operators.sets import compound
 from basalt.sources.catalog import create_as
@@ -200,3 +200,23 @@ def test_printf_keeps_the_sign_of_zero_and_takes_nulls_as_its_sql_does(spark, tm
     got = registry.queries()["f_printf"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(con.execute(registry.oracle_sql()["f_printf"]).fetchall(), key=repr)
     assert T.format_text("%.1f|%+.0f|%d|%x", [-0.0, -0.0, float("nan"), 2.7]) == "-0.0|-0|0|2"
+
+
+def test_range_counts_make_no_pairs_and_match_sql(spark, tmp_path):
+    """Ends that meet points, repeated rows, nulls, NaN, infinite and signed zero bounds; 4 million pairs of one span are a number."""
+    import duckdb
+
+    nan, inf = float("nan"), float("inf")
+    lows = [0.0, -0.0, 0.0, 100.0, 99.99, 80.0, -20.0, -20.5, 1e17, -1e17, None, nan, inf, -inf, 555.0]
+    prices = [0.0, -0.0, 5000.0, 5000.0, 1000.0, 4999.5, 5e18, -1000.0, -5e18, None, nan, inf, -inf, 6000.0]
+    spark.createDataFrame([(i, x) for i, x in enumerate(lows)], "c_custkey long, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(x,) for x in prices], "o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {t} AS FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = registry.queries()["j17_range_join"](spark, str(tmp_path))
+    plain = lambda rows: sorted((repr(lo + 0.0), n) for lo, n in rows)
+    assert plain(got.select("lo", "n").collect()) == plain(con.execute(registry.oracle_sql()["j17_range_join"]).fetchall())
+    spans = spark.range(2000).selectExpr("id", "7.0D AS lo", "8.0D AS hi")
+    many = joins.range_counts(spark.range(2000).selectExpr("7.5D AS x"), spans, "x", "lo", "hi", 1.0)
+    assert [tuple(r) for r in many.collect()] == [(7.0, 8.0, 4_000_000)]
