@@ -220,3 +220,31 @@ def test_range_counts_make_no_pairs_and_match_sql(spark, tmp_path):
     spans = spark.range(2000).selectExpr("id", "7.0D AS lo", "8.0D AS hi")
     many = joins.range_counts(spark.range(2000).selectExpr("7.5D AS x"), spans, "x", "lo", "hi", 1.0)
     assert [tuple(r) for r in many.collect()] == [(7.0, 8.0, 4_000_000)]
+
+
+@pytest.mark.parametrize("distance", ["l2", "cosine"])
+def test_nearest_join_keeps_its_matrices_small_and_exact(spark, distance):
+    """Many equal vectors and rows of no or of other numbers; 4,096 queries take a task no more memory than a piece."""
+    import tracemalloc
+
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(500, 8)).astype("float32") + 100
+    x[100:300] = x[100]
+    table = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [float("nan")] * 8), (902, [1.0, 2.0]), (903, [None, *[1.0] * 7])]
+    rows = spark.createDataFrame(table, "i long, v array<float>").repartition(3)
+    got = {}
+    for row in vectors.nearest_join(rows, rows.where("i % 10 = 0 AND i < 500"), "i", "v", 4, distance).collect():
+        got.setdefault(row.query, {})[row["rank"]] = row.neighbour
+    y = x.astype(float)
+    for q in range(0, 500, 10):
+        d = np.sqrt(((y - y[q]) ** 2).sum(1)) if distance == "l2" else 1 - (y * y[q]).sum(1) / (np.linalg.norm(y, axis=1) * np.linalg.norm(y[q : q + 1], axis=1))
+        assert [got[q][i] for i in (1, 2, 3, 4)] == [j for _, j in sorted(zip(d, range(500), strict=True)) if j != q][:4]
+    queries, v = r.normal(size=(4096, 16)), r.normal(size=(10_000, 16))
+    best = np.full((4096, 5), np.inf), np.full((4096, 5), 2**63 - 1)
+    tracemalloc.start()
+    vectors._meet(best, np.arange(4096), queries, np.arange(10_000) + 5000, v, distance)
+    assert tracemalloc.get_traced_memory()[1] < 10 * 8 * vectors.PIECE
+    tracemalloc.stop()
+    assert np.isfinite(best[0]).all()
