@@ -1,7 +1,10 @@
 """Full-text search over words in rows, or over an inverted index that is a DataFrame.
 
-rows() keeps each document's words in its own row; a query is then one condition
-and BM25 an expression, in one scan.  index() has a row per token, (doc, pos,
+rows() keeps each document's words in its own row, and its text in lower case where
+an expression on the text finds the same words; a query is then one condition and
+BM25 an expression, in one scan.  No part of a query names the array of words twice:
+a filter is moved below the column that splits the text, and the text would be split
+again for each name, under a lambda for each word that matches.  index() has a row per token, (doc, pos,
 term), for an index that is written once (partitioned by term, so that a word's
 postings are all that is read): queries are semi-joins and set operations on
 document ids, phrases and NEAR joins on positions of the few terms asked for.
@@ -10,6 +13,7 @@ document ids, phrases and NEAR joins on positions of the few terms asked for.
 from __future__ import annotations
 
 import re
+from unicodedata import category
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,11 +89,13 @@ def without(part: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def rows(docs: DataFrame, key: str, *texts: str, tokenizer=tokens) -> DataFrame:
-    """(doc, t_<column>, ...): the words of each text column in its own row.
+    """(doc, t_<column>, ..., s_<column>, ...): the words of each text column in its own row; with tokens() its text in lower case too.
 
     Queries and ranks over this form are expressions on the row: one scan, no shuffle, all words of a query at once.
     """
-    return docs.select(F.col(key).alias("doc"), *[F.coalesce(tokenizer(F.col(t)), F.array().cast("array<string>")).alias(f"t_{t}") for t in texts])
+    words = [F.coalesce(tokenizer(F.col(t)), F.array().cast("array<string>")).alias(f"t_{t}") for t in texts]
+    spelled = [F.coalesce(F.lower(F.col(t)), F.lit("")).alias(f"s_{t}") for t in texts if tokenizer is tokens]
+    return docs.select(F.col(key).alias("doc"), *words, *spelled)
 
 
 class OnPostings:
@@ -116,26 +122,48 @@ class OnPostings:
     both, either, without = staticmethod(both), staticmethod(either), staticmethod(without)
 
 
+#: Expressions for a letter or digit, anything else, and the place before a word.  A pattern may be tried
+#: in the middle of a surrogate pair, whose second half is no start of a word.
+LETTER, OTHER, START = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]", r"(?:^|[^\p{L}\p{N}\p{Cs}])"
+
+
 class OnRows:
-    """What a query's parts are as conditions on a row of word arrays."""
+    """What a query's parts are as conditions on a row: on the text if rows have it, else on arrays of words."""
 
-    def __init__(self, columns: list[str]) -> None:
-        self.columns = columns
+    def __init__(self, columns: list[str], spelled: bool) -> None:
+        self.columns, self.spelled = columns, spelled
 
     def restricted(self, names: list[str]) -> OnRows:
         """Only these columns, or with a leading minus all but them."""
-        chosen = [f"t_{n}" for n in names]
         if names[0] == "-":
-            return OnRows([c for c in self.columns if c not in chosen])
-        missing = [c[2:] for c in chosen if c not in self.columns]
+            return OnRows([c for c in self.columns if c not in names], self.spelled)
+        missing = [c for c in names if c not in self.columns]
         if missing:
             raise ValueError(f"no such column: {missing[0]}")
-        return OnRows(chosen)
+        return OnRows(names, self.spelled)
 
     def _any(self, condition) -> Column:
+        """Whether the condition, which names its argument once, holds for the words of some column."""
         out = F.lit(False)
         for c in self.columns:
-            out = out | condition(F.col(c))
+            out = out | condition(F.col(f"t_{c}"))
+        return out
+
+    def _plain(self, *words: str) -> bool:
+        """Whether the text has these words where an expression finds them."""
+        return self.spelled and all(w and all(category(c)[0] in "LN" for c in w) for w in (w.removesuffix("*") for w in words))
+
+    def _written(self, before: str, *words: str) -> Column:
+        """Whether the text of some column has the words one after the other at such a place."""
+        spell = lambda w: rf"\Q{w[:-1]}\E{LETTER}*+" if w.endswith("*") else rf"\Q{w}\E(?!{LETTER})"
+        pattern = before + f"{OTHER}++".join(map(spell, words))
+        out = F.lit(False)
+        for c in self.columns:
+            text = F.col(f"s_{c}")
+            here = text.rlike(pattern)
+            for w in reversed(words):  # most texts without the words need no expression
+                here = text.contains(w.removesuffix("*")) & here
+            out = out | here
         return out
 
     @staticmethod
@@ -143,34 +171,41 @@ class OnRows:
         return w.startswith(word[:-1]) if word.endswith("*") else w == word
 
     def term(self, word: str) -> Column:
+        if self._plain(word):
+            return self._written(START, word)
         if word.endswith("*"):
             return self._any(lambda ws: F.exists(ws, lambda w: self._is(w, word)))
         return self._any(lambda ws: F.array_contains(ws, word))
 
     def initial(self, word: str) -> Column:
+        if self._plain(word):
+            return self._written(f"^{OTHER}*+", word)
         return self._any(lambda ws: F.coalesce(self._is(F.get(ws, F.lit(0)), word), F.lit(False)))
 
-    def _somewhere(self, word: str, more) -> Column:
-        """Whether ``more`` holds at some place of the word."""
-        here = lambda ws: F.transform(ws, lambda w, i: F.when(self._is(w, word), more(ws, i)).otherwise(F.lit(False)))
-        return self._any(lambda ws: F.exists(here(ws), lambda x: x))
-
     def phrase(self, *words: str) -> Column:
-        def rest(ws: Column, i: Column) -> Column:
-            out = F.lit(True)
-            for k, word in enumerate(words[1:], 1):
-                out = out & F.coalesce(self._is(F.get(ws, i + k), word), F.lit(False))
-            return out
+        if self._plain(*words):
+            return self._written(START, *words)
+        n = len(words)
 
-        return self._somewhere(words[0], rest)
+        def next_word(state: Column, w: Column) -> Column:
+            """Whether the phrase's first 1, 2, ... words end here, and whether all of them have ended here or before."""
+            ends = [self._is(w, words[0]), *[F.get(state, F.lit(k - 1)) & self._is(w, words[k]) for k in range(1, n)]]
+            return F.array(*ends, F.get(state, F.lit(n)) | ends[-1])
+
+        none = F.array(*[F.lit(False)] * (n + 1))
+        return self._any(lambda ws: F.aggregate(ws, none, next_word, lambda state: F.get(state, F.lit(n))))
 
     def near(self, first: str, second: str, distance: int) -> Column:
-        def around(ws: Column, i: Column) -> Column:
-            before = F.slice(ws, F.greatest(i - distance, F.lit(1)), F.least(i, F.lit(distance + 1)))
-            after = F.slice(ws, i + 2, F.lit(distance + 1))
-            return F.exists(F.concat(before, after), lambda w: self._is(w, second))
+        far = -distance - 2
+
+        def next_word(state: Column, w: Column) -> Column:
+            """Its place, the last places of either word, and whether both have been near."""
+            at, a, b = state["at"], self._is(w, first), self._is(w, second)
+            met = (b & (at - state["a"] <= distance + 1)) | (a & (at - state["b"] <= distance + 1))
+            return F.struct((at + 1).alias("at"), F.when(a, at).otherwise(state["a"]).alias("a"), F.when(b, at).otherwise(state["b"]).alias("b"), (state["met"] | met).alias("met"))
 
-        return self._somewhere(first, around)
+        none = F.struct(F.lit(0).alias("at"), F.lit(far).alias("a"), F.lit(far).alias("b"), F.lit(False).alias("met"))
+        return self._any(lambda ws: F.aggregate(ws, none, next_word, lambda state: state["met"]))
 
     @staticmethod
     def both(*parts: Column) -> Column:
@@ -255,7 +290,8 @@ def match(index: DataFrame, query: str) -> DataFrame:
             parts.append(all_of(ops))
         return ops.either(*parts) if len(parts) > 1 else parts[0]
 
-    out = any_of(OnRows([c for c in index.columns if c != "doc"]) if on_rows else OnPostings(index))
+    names = [c[2:] for c in index.columns if c.startswith("t_")]
+    out = any_of(OnRows(names, all(f"s_{c}" in index.columns for c in names)) if on_rows else OnPostings(index))
     if items:
         raise ValueError(f"unbalanced query: {query}")
     return index.where(out).select("doc") if on_rows else out
@@ -267,7 +303,7 @@ def bm25(rows: DataFrame, *words: str, weights: dict[str, float] | None = None)
     ``rows`` as rows() gives them; a hit counts by its column's weight (1 if none is given).  Lengths and
     frequencies are expressions on the row; a few numbers a document are shuffled, no words.
     """
-    columns = [c for c in rows.columns if c != "doc"]
+    columns = [c for c in rows.columns if c.startswith("t_")]
     weight = {c: float((weights or {}).get(c[2:], 1.0)) for c in columns}
 
     def total(value) -> Column:

@@ -248,3 +248,23 @@ def test_nearest_join_keeps_its_matrices_small_and_exact(spark, distance):
     assert tracemalloc.get_traced_memory()[1] < 10 * 8 * vectors.PIECE
     tracemalloc.stop()
     assert np.isfinite(best[0]).all()
+
+
+def test_search_over_texts_splits_no_text_and_agrees_with_words(spark):
+    """Conditions on the text find what conditions on its words find; either names the words once."""
+    texts = [
+        "Of the", "of\tthe.", "of--THE end", "soft of theory", "of, of the", "of therefore the", "xof the", "of the1", "of_the", "ofthe", "of a the",
+        "\U0001d4b3of the", "\U0001f600of\U0001f600the\U0001d4b3", "\U0001f600of\U0001f600the\U0001f600", "éof the", "of thé", "OF \n\n THE", "", None, "the of of of the", "of ofx the", "the",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d long, t string")
+    spelled = textsearch.rows(docs, "d", "t")
+    words, postings = spelled.drop("s_t"), textsearch.index(docs, "d", "t")
+    queries = ['"of the"', '"of th*"', '"o* the"', '"of of the"', '"of"', "of", "o*", "^of", "^o*", "the NOT of", "of-the", "of_the", "*", "NEAR(of the, 0)", "NEAR(the of, 1)", "NEAR(of of, 1)", "NEAR(o* th*, 0)"]
+    for q in queries:
+        found = [sorted(r.doc for r in textsearch.match(x, q).collect()) for x in (spelled, words, postings)]
+        assert found[0] == found[1] == found[2], q
+        assert found[0] or q in ("of-the", "of_the")
+    plan = lambda name: registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    for name, splits in {"fts_phrase": 0, "fts_phrase_prefix": 0, "fts_term": 0, "fts_and_or_not": 0, "fts_near": 1}.items():
+        assert plan(name).count("regexp_extract_all") == splits
+    assert textsearch.match(words, '"of the"')._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
