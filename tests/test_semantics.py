@@ -268,3 +268,35 @@ def test_search_over_texts_splits_no_text_and_agrees_with_words(spark):
     for name, splits in {"fts_phrase": 0, "fts_phrase_prefix": 0, "fts_term": 0, "fts_and_or_not": 0, "fts_near": 1}.items():
         assert plan(name).count("regexp_extract_all") == splits
     assert textsearch.match(words, '"of the"')._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_json_functions_share_a_parse_and_change_no_value(spark):
+    """Edits of one text side by side, repeated and malformed texts, and batches too large to keep."""
+    import json
+
+    import pyarrow as pa
+
+    from basalt.functions import json_text as J
+
+    text = '{"a":[1,{"b":2}],"c":{"d":[]},"e":"é\\""}'
+    value = json.loads(text)
+    edits = {
+        ("$.a[1].b", "set"): '{"a":[1,{"b":9}],"c":{"d":[]},"e":"é\\""}', ("$.a[#]", "set"): '{"a":[1,{"b":2},9],"c":{"d":[]},"e":"é\\""}',
+        ("$.a[0]", "array_insert"): '{"a":[9,1,{"b":2}],"c":{"d":[]},"e":"é\\""}', ("$.c.x", "insert"): '{"a":[1,{"b":2}],"c":{"d":[],"x":9},"e":"é\\""}',
+        ("$.c", "replace"): '{"a":[1,{"b":2}],"c":9,"e":"é\\""}', ("$.a[#-1].b", "insert"): text, ("$.x.y", "set"): text, ("$.a.b", "set"): text, ("$.c.d[#-1]", "replace"): text, ("$.e[0]", "set"): text,
+    }
+    for (path, mode), want in edits.items():
+        assert J.dumps(J.change(value, J.parse_path(path), 9, mode)) == want, path
+    assert J.dumps(J.remove(value, J.parse_path("$.a[1].b"))) == '{"a":[1,{}],"c":{"d":[]},"e":"é\\""}'
+    assert J.remove(value, J.parse_path("$.a.b")) is value and J.dumps(value) == text
+    batch = pa.table({"x": [text, "{", text, None]}).to_batches()[0]
+    values, at = J.parsed(batch.column(0))
+    assert (values, at) == ([value, J.NOT_JSON, J.NOT_JSON], [0, 1, 0, 2]) and J.parsed(batch.column(0))[0] is values
+    assert J.parsed(pa.array(["1"]))[0] == [1]
+    big = json.dumps({"a": "x" * 3_000_000})
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([text, "{", text, None, "[1]", big, big, big])], "i int, t string").coalesce(1)
+    x = F.col("t")
+    got = rows.select("i", J.edit(x, "set", ("$.a", 1)).alias("s"), J.json_remove(x, "$.c", "$.e").alias("r"), J.json_minify(x).alias("m"), J.valid(x).alias("v")).orderBy("i").collect()
+    one = ('{"a":1,"c":{"d":[]},"e":"é\\""}', '{"a":[1,{"b":2}]}', text, True)
+    large = ('{"a":1}', J.dumps(json.loads(big)), J.dumps(json.loads(big)), True)
+    assert [tuple(r)[1:] for r in got] == [one, (None, None, None, False), one, (None, None, None, None), ("[1]",) * 3 + (True,), large, large, large]
